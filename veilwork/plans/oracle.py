@@ -305,8 +305,8 @@ def grams(longest: int) -> str:
 
 
 PATTERN_SOURCES = {
-    "URL": ("webpages", PAGES), "PHONE": ("docs", DOCS), "EMAIL": ("docs", DOCS), "DOCTOR": ("docs", DOCS),
-    "STREET": ("docs", DOCS), "FAX": ("docs", DOCS), "DEVICE": ("docs", DOCS),
+    "URL": ("webpages", PAGES), "PHONE": ("docs", DOCS), "EMAIL": ("docs", DOCS),
+    **{e: ("admissions", ADMISSIONS) for e in ("DOCTOR", "STREET", "FAX", "DEVICE")},
 }
 
 WORDS = f"""words AS MATERIALIZED (

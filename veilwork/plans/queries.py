@@ -246,11 +246,11 @@ def rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOTH_SIDES_RULE = Rule(
-    "EMAIL",
-    CONTEXT_RULES_BY_ENTITY["EMAIL"].regex,
-    prefix=("email", "call"),
-    suffix=("pharmacy", "filled"),
-    context_length=60,
+    "DATE",
+    r"^\d{4}-\d{2}-\d{2}$",
+    prefix=("seen",),
+    suffix=("in",),
+    context_length=20,
     prefix_and_suffix=True,
     signal=True,
 )
@@ -286,8 +286,10 @@ def _pattern_docs(spark: SparkSession, sf_dir: str, rule: Rule) -> DataFrame:
     if rule.entity == "URL":
         pages = fx.table(spark, sf_dir, "pages")
         return fx.spread(pages.selectExpr("page_id as doc_id", "url || ' ' || html as text"))
-    if rule.entity in ("PHONE", "EMAIL", "DOCTOR", "STREET", "FAX", "DEVICE"):
+    if rule.entity in ("PHONE", "EMAIL"):
         return fx.documents(spark, sf_dir)
+    if rule.entity in ("DOCTOR", "STREET", "FAX", "DEVICE"):
+        return _admission_docs(spark, sf_dir)
     return fx.note_docs(spark, sf_dir)
 
 
