@@ -101,7 +101,7 @@ NOTE_TEXT_SQL = (
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``notes(note_id, text)``: one clinical-style note per order."""
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "o_custkey as c", "o_orderdate as d")
+    orders = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey as k", "o_custkey as c", "o_orderdate as d")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return (
@@ -116,20 +116,19 @@ def as_docs(frame: DataFrame, key: str) -> DataFrame:
 
 
 def note_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes as ``(doc_id, text)``, spread over the cores if the file is a single split."""
-    return spread(as_docs(notes(spark, sf_dir), "note_id"))
+    """Notes as ``(doc_id, text)``."""
+    return as_docs(notes(spark, sf_dir), "note_id")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Repartition an input that has fewer splits than the session has cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the session has cores.
 
     A file of a few megabytes is one split, so one task would do all the work; large
-    inputs have many splits and pass unchanged, without a shuffle.
+    inputs have many splits and pass unchanged, without a shuffle.  ``scan`` must hold
+    no shuffle or join: counting its splits then runs no job.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if len(frame.inputFiles()) >= cores or frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

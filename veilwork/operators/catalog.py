@@ -82,13 +82,13 @@ _LITERAL = rf"\[(?:{_OCTET}\.){{3}}(?:{_OCTET}|[a-z0-9-]*[a-z0-9]:[^\[\]\s]+)\]"
 EMAIL_REGEX = rf"(?:{_LOCAL}(?:\.{_LOCAL})*|{_QUOTED})@(?:{_HOST}|{_LITERAL})"
 
 CONTEXT_RULES = (
-    Rule("SSN", SSN_REGEX, prefix=SSN_WORDS, context_length=20, signal=True),
-    Rule("ACCOUNT", ACCOUNT_REGEX, prefix=ACCOUNT_WORDS, context_length=25, signal=True),
+    Rule("SSN", SSN_REGEX, prefix=SSN_WORDS, context_length=20, signal=True, min_length=9),
+    Rule("ACCOUNT", ACCOUNT_REGEX, prefix=ACCOUNT_WORDS, context_length=25, signal=True, min_length=7),
     Rule(
         "LICENSE", LICENSE_REGEX, prefix=LICENSE_WORDS, suffix=LICENSE_WORDS, context_length=20,
-        case_sensitive=True, signal=True,
+        case_sensitive=True, signal=True, min_length=3,
     ),
-    Rule("VIN", VIN_REGEX, prefix=VIN_WORDS, context_length=5, signal=True),
+    Rule("VIN", VIN_REGEX, prefix=VIN_WORDS, context_length=5, signal=True, min_length=17, max_length=17),
     Rule(
         "AGE", AGE_REGEX, match_scope="sub-token", suffix=AGE_PHRASES, context_length=20,
         keep=AGE_KEEP, signal=True,
@@ -100,8 +100,14 @@ CONTEXT_RULES = (
     Rule(
         "IDNUM", IDNUM_REGEX, match_scope="sub-token", prefix=IDNUM_WORDS, context_length=20, signal=True,
     ),
-    Rule("ZIP", ZIP_REGEX, prefix=ZIP_WORDS, context_length=5, case_sensitive=True, signal=True),
-    Rule("MEDICALRECORD", MEDICALRECORD_REGEX, prefix=MEDICALRECORD_WORDS, context_length=15, signal=True),
+    Rule(
+        "ZIP", ZIP_REGEX, prefix=ZIP_WORDS, context_length=5, case_sensitive=True, signal=True, min_length=5,
+        max_length=10,
+    ),
+    Rule(
+        "MEDICALRECORD", MEDICALRECORD_REGEX, prefix=MEDICALRECORD_WORDS, context_length=15, signal=True,
+        min_length=5, max_length=5,
+    ),
     Rule(
         "EMAIL", EMAIL_REGEX, prefix=EMAIL_WORDS, suffix=EMAIL_WORDS, context_length=60, signal=True,
         literal="@",

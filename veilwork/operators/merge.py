@@ -253,17 +253,38 @@ def number_islands(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def resolve_chunks(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """De-overlap a table of findings; one row per (document, island) with the outcome.
+    """De-overlap a table of findings; rows ``(key, resolved)``, several per document.
 
-    For findings that already sit on their document's row use
-    :func:`resolve_findings`, which needs no shuffle.
+    Findings are gathered per (document, position block), so a document with a large
+    share of them is many groups.  A block that no finding enters or leaves across its
+    border is resolved on its own; the few others, found from the same gathered rows,
+    go through :func:`number_islands`.  For findings that already sit on their
+    document's row use :func:`resolve_findings`, which needs no shuffle.
     """
-    return (
-        number_islands(chunks, key)
+    gathered = (
+        chunks.withColumn("block", F.shiftright("begin", POSITION_BLOCK_BITS))
+        .groupBy(key, "block")
+        .agg(F.collect_list(F.struct(*CHUNK_FIELDS)).alias("findings"))
+    )
+    reach = F.array_max(F.transform("findings", lambda f: f["end"]))
+    last = F.shiftright(reach - 1, POSITION_BLOCK_BITS)
+    tied = (
+        gathered.filter(last > F.col("block"))
+        .select(key, F.explode(F.sequence("block", last)).alias("block"))
+        .distinct()
+        .withColumn("tied", F.lit(True))
+    )
+    # An outer join, since Spark moves semi and anti joins below the grouping and would then
+    # compute the findings once per branch; so all branches reuse one shuffle.
+    marked = gathered.join(tied, [key, "block"], "left")
+    lone = marked.filter(F.col("tied").isNull()).select(key, "findings")
+    runs = (
+        number_islands(marked.filter(F.col("tied")).select(key, F.inline("findings")), key)
         .groupBy(key, "island")
         .agg(F.collect_list(F.struct(*CHUNK_FIELDS)).alias("findings"))
-        .select(key, resolve_findings(F.col("findings")).alias("resolved"))
+        .select(key, "findings")
     )
+    return lone.unionByName(runs).select(key, resolve_findings(F.col("findings")).alias("resolved"))
 
 
 def kept_chunks(resolved: DataFrame, key: str = "doc_id") -> DataFrame:

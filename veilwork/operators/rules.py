@@ -20,11 +20,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilwork.functions.arrays import TEXT_BLOCK, block_substring, empty_array, let, text_blocks
-from veilwork.functions.text import MATCH_TYPE, SENTENCE_END, clean_text, find_matches, sentence_counter, text_tokens
+from veilwork.functions.text import SENTENCE_END, clean_text, find_matches, sentence_counter, text_tokens
 
 CHUNK_TYPE = (
     "struct<sent_id:int,begin:int,end:int,chunk:string,entity:string,detector:string>"
 )
+FOUND_TYPE = "struct<begin:int,end:int,chunk:string,entity:string,detector:string>"
 CHUNK_FIELDS = ("sent_id", "begin", "end", "chunk", "entity", "detector")
 DOCUMENT_SCOPE_SENT_ID = -1
 ALNUM = "A-Za-z0-9"
@@ -34,7 +35,8 @@ ALNUM = "A-Za-z0-9"
 class Rule:
     """One contextual rule (or context-free pattern, when it lists no words).
 
-    ``literal`` is a string every match holds; ``keep`` is a second regex a sub-token match must satisfy.  ``signal`` promises
+    ``literal``, ``min_length`` and ``max_length`` (0 for none) promise something about
+    every token the regex accepts and only save time.  ``keep`` is a second regex a sub-token match must satisfy.  ``signal`` promises
     that every match holds a digit or an ``@``; such rules skip all other words.
     """
 
@@ -50,6 +52,8 @@ class Rule:
     keep: str | None = None
     signal: bool = False
     literal: str | None = None
+    min_length: int = 0
+    max_length: int = 0
     detector: str = ""
 
     def __post_init__(self) -> None:
@@ -116,19 +120,29 @@ def suffix_regex(words: Sequence[str], length: int) -> str:
     return "^(?:" + "|".join(arms) + ")"
 
 
-def _window(rules: Sequence[Rule], side: str) -> int:
-    """Characters of context that decide every rule exactly (gap + word + boundary)."""
-    return max(
-        (r.context_length + max(map(len, getattr(r, side))) + 1 for r in rules if getattr(r, side)),
-        default=0,
-    )
+Window = Callable[[Column, Column], Column]
+
+
+def _context_holds(rule: Rule, m: Column, window: Window, size: Column) -> Column:
+    """The test of one rule's context, reading only as much text as decides it exactly.
+
+    A window holds the gap, the longest word and one more character for its edge.
+    """
+    in_sentence = rule.rule_scope == "sentence"
 
+    def width(words: Sequence[str]) -> int:
+        return rule.context_length + max(map(len, words)) + 1
 
-def _context_holds(rule: Rule, before: Column, after: Column) -> Column:
     sides = []
     if rule.prefix:
+        before = window(F.greatest(F.lit(0), m["begin"] - width(rule.prefix)), m["begin"])
+        if in_sentence:
+            before = F.regexp_replace(before, EARLIER_SENTENCES, "")
         sides.append(before.rlike(_flags(rule) + prefix_regex(rule.prefix, rule.context_length)))
     if rule.suffix:
+        after = window(m["end"], F.least(size, m["end"] + width(rule.suffix)))
+        if in_sentence:
+            after = F.regexp_extract(after, REST_OF_SENTENCE, 0)
         sides.append(after.rlike(_flags(rule) + suffix_regex(rule.suffix, rule.context_length)))
     return reduce(lambda a, b: a & b if rule.prefix_and_suffix else a | b, sides)
 
@@ -139,9 +153,16 @@ def _sub_token_matches(rule: Rule, text: Column) -> Column:
         found = F.filter(found, lambda m: m["match"].rlike(rule.keep))
     if rule.rule_scope == "sentence":
         found = F.filter(found, lambda m: ~m["match"].rlike(SENTENCE_END))
+    return found
+
+
+def _if_possible(rule: Rule, text: Column, found: Column) -> Column:
+    """Skip a rule in texts that hold none of its context words (or no digit or ``@``)."""
     gates = [text.rlike("[0-9@]")] if rule.signal else []
     gates += [text.rlike(_flags(rule) + context_gate(rule))] if rule.has_context else []
-    return F.when(reduce(lambda a, b: a & b, gates), found).otherwise(empty_array(MATCH_TYPE)) if gates else found
+    if not gates:
+        return found
+    return F.when(reduce(lambda a, b: a & b, gates), found).otherwise(empty_array(FOUND_TYPE))
 
 
 def context_gate(rule: Rule) -> str:
@@ -149,20 +170,20 @@ def context_gate(rule: Rule) -> str:
     return _alternatives([re.findall(f"[{ALNUM}]+", w)[-1] for w in rule.prefix + rule.suffix])
 
 
-def _token_hits(rule: Rule, chunk: Column) -> Column:
-    # An e-mail-like regex is costly on other tokens; a literal it needs is a cheap first test.
-    test = chunk.rlike(_flags(rule) + rule.regex)
-    return F.contains(chunk, F.lit(rule.literal)) & test if rule.literal else test
-
-
-def _finding(rule: Rule, m: Column) -> Column:
-    return F.struct(
-        m["begin"].alias("begin"),
-        m["end"].alias("end"),
-        m["match"].alias("chunk"),
-        F.lit(rule.entity).alias("entity"),
-        F.lit(rule.detector).alias("detector"),
-    )
+def _token_hits(rule: Rule, m: Column) -> Column:
+    # Comparing lengths and searching a literal are far cheaper than a regex.
+    tests = []
+    length = m["end"] - m["begin"]
+    if rule.min_length == rule.max_length:
+        tests.append(length == rule.min_length)
+    elif rule.max_length:
+        tests.append(length.between(rule.min_length, rule.max_length))
+    elif rule.min_length:
+        tests.append(length >= rule.min_length)
+    if rule.literal:
+        tests.append(F.contains(m["match"], F.lit(rule.literal)))
+    tests.append(m["match"].rlike(_flags(rule) + rule.regex))
+    return reduce(lambda a, b: a & b, tests)
 
 
 def _number(found: Column, text: Column, document_detectors: Sequence[str]) -> Column:
@@ -182,48 +203,27 @@ def _number(found: Column, text: Column, document_detectors: Sequence[str]) -> C
     return sentence_counter(text)(with_lookup)
 
 
-def _decide(rules: Sequence[Rule], found: Column, window: Callable[[Column, Column], Column], size: Column) -> Column:
-    """Findings among the matches ``found``: at most one per match and rule."""
-    before_width, after_width = _window(rules, "prefix"), _window(rules, "suffix")
-
-    def hits(m: Column, before: Column | None, after: Column | None) -> Column:
-        branches = []
-        for r in rules:
-            tests = [_token_hits(r, m["match"])] if r.match_scope == "token" else []
-            tests += [_context_holds(r, before, after)] if r.has_context else []
-            finding = _finding(r, m)
-            branches.append(F.when(reduce(lambda a, b: a & b, tests), finding) if tests else finding)
-        return F.array_compact(F.array(*branches))
-
-    if not before_width and not after_width:
-        return F.flatten(F.transform(found, lambda m: hits(m, None, None)))
-
-    in_sentence = rules[0].rule_scope == "sentence"
-
-    def context(m: Column) -> Column:
-        fields = [m.alias("m")]
-        if before_width:
-            before = window(F.greatest(F.lit(0), m["begin"] - before_width), m["begin"])
-            if in_sentence:
-                before = F.regexp_replace(before, EARLIER_SENTENCES, "")
-            fields.append(before.alias("before"))
-        if after_width:
-            after = window(m["end"], F.least(size, m["end"] + after_width))
-            if in_sentence:
-                after = F.regexp_extract(after, REST_OF_SENTENCE, 0)
-            fields.append(after.alias("after"))
-        return F.struct(*fields)
-
-    return F.flatten(
-        F.transform(
-            F.transform(found, context),
-            lambda x: hits(
-                x["m"], x["before"] if before_width else None, x["after"] if after_width else None
-            ),
-        )
+def _finding(rule: Rule, m: Column) -> Column:
+    return F.struct(
+        m["begin"].alias("begin"),
+        m["end"].alias("end"),
+        m["match"].alias("chunk"),
+        F.lit(rule.entity).alias("entity"),
+        F.lit(rule.detector).alias("detector"),
     )
 
 
+def _decide(rule: Rule, found: Column, window: Window, size: Column) -> Column:
+    """Findings of one rule among the matches ``found``; context is read last."""
+
+    def holds(m: Column) -> Column:
+        tests = [_token_hits(rule, m)] if rule.match_scope == "token" else []
+        tests += [_context_holds(rule, m, window, size)] if rule.has_context else []
+        return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+    return F.transform(F.filter(found, holds), lambda m: _finding(rule, m))
+
+
 def rule_findings(text: Column, rules: Sequence[Rule]) -> Column:
     """All findings of ``rules`` in a text, as ``array<CHUNK_TYPE>``; null for null text."""
     rules = tuple(rules)
@@ -241,14 +241,20 @@ def rule_findings(text: Column, rules: Sequence[Rule]) -> Column:
                 size <= TEXT_BLOCK, F.substring(t, begin + 1, end - begin)
             ).otherwise(block_substring(blocks, begin, end))
 
-        parts = []
+        parts = [
+            _if_possible(r, t, _decide(r, _sub_token_matches(r, t), window, size)) for r in sub_rules
+        ]
         if token_rules:
-            found = text_tokens(t, signal_only=all(r.signal for r in token_rules))
-            parts.append(_decide(token_rules, found, window, size))
-        parts += [_decide([r], _sub_token_matches(r, t), window, size) for r in sub_rules]
+            signal_only = all(r.signal for r in token_rules)
+            parts.append(
+                let(
+                    text_tokens(t, signal_only),
+                    lambda toks: F.concat(*[_decide(r, toks, window, size) for r in token_rules]),
+                )
+            )
         document_detectors = sorted({r.detector for r in rules if r.rule_scope == "document"})
         return let(
-            F.concat(*parts),
+            F.concat(*parts) if len(parts) > 1 else parts[0],
             lambda found: F.when(F.size(found) > 0, _number(found, t, document_detectors)).otherwise(
                 empty_array(CHUNK_TYPE)
             ),

@@ -16,7 +16,7 @@ BINARY_SCHEMA = (
 RULE_SCHEMA = (
     "entity string, ruleScope string, regex string, matchScope string, prefix array<string>, "
     "suffix array<string>, contextLength int, caseSensitive boolean, prefixAndSuffix boolean, "
-    "keep string, signal boolean, literal string, detector string"
+    "keep string, signal boolean, literal string, minLength int, maxLength int, detector string"
 )
 POLICY_SCHEMA = "entity string, mode string"
 # Rules and policies become expressions of the plan, so their number must stay small.
@@ -60,7 +60,8 @@ def write_rules(spark: SparkSession, rules: tuple[Rule, ...], path: str) -> None
     records = [
         (
             r.entity, r.rule_scope, r.regex, r.match_scope, list(r.prefix), list(r.suffix), r.context_length,
-            r.case_sensitive, r.prefix_and_suffix, r.keep, r.signal, r.literal, r.detector,
+            r.case_sensitive, r.prefix_and_suffix, r.keep, r.signal, r.literal, r.min_length, r.max_length,
+            r.detector,
         )
         for r in rules
     ]
@@ -88,6 +89,8 @@ def read_rules(spark: SparkSession, path: str, multi_line: bool = False) -> tupl
                 keep=r.keep,
                 signal=bool(r.signal),
                 literal=r.literal,
+                min_length=r.minLength or 0,
+                max_length=r.maxLength or 0,
                 detector=r.detector or "",
             )
         )
