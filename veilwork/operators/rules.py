@@ -174,7 +174,7 @@ def _token_hits(rule: Rule, m: Column) -> Column:
     # Comparing lengths and searching a literal are far cheaper than a regex.
     tests = []
     length = m["end"] - m["begin"]
-    if rule.min_length == rule.max_length:
+    if rule.max_length and rule.min_length == rule.max_length:
         tests.append(length == rule.min_length)
     elif rule.max_length:
         tests.append(length.between(rule.min_length, rule.max_length))
