@@ -8,7 +8,9 @@ splits; only counting shuffles, after partial aggregation.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,33 @@ def findings(
     return whitelist_findings(rename_findings(found), wanted)
 
 
+# Building these expressions takes thousands of calls to the JVM, and they depend on their
+# arguments alone.  Keeping them makes repeated queries and micro-batches start at once.
+
+
+@lru_cache(maxsize=64)
+def _resolved_column(gateway, text, labels, rules, word_lists, with_extra, precedence) -> Column:
+    extra = F.col("extra") if with_extra else None
+    return resolve_findings(findings(F.col(text), labels, rules, dict(word_lists), extra), precedence)
+
+
+@lru_cache(maxsize=64)
+def _rebuilt_column(gateway, text, salt, policy, surrogates) -> Column:
+    return rebuilt_text(F.col(text), F.col("resolved"), salt, dict(policy), dict(surrogates))
+
+
+def _items(mapping: Mapping | None) -> tuple:
+    pairs = (mapping or {}).items()
+    return tuple((k, v if isinstance(v, str) else tuple(v)) for k, v in pairs)
+
+
+def _resolved(text, labels, rules, word_lists, with_extra, precedence) -> Column:
+    return _resolved_column(
+        SparkContext._gateway, text, requested_labels(labels), tuple(rules), _items(word_lists), with_extra,
+        tuple(precedence),
+    )
+
+
 def chunk_table(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
     """One row per finding.  The outer form keeps Spark from evaluating ``found`` twice."""
     return docs.select(key, F.inline_outer(found)).filter(F.col("chunk").isNotNull())
@@ -84,7 +113,7 @@ def find_entities(
     word_lists: Mapping[str, Sequence[str]] = WORD_LISTS,
 ) -> DataFrame:
     """Disjoint findings of every document as ``(key, sent_id, begin, end, chunk, ...)``."""
-    resolved = resolve_findings(findings(F.col(text), labels, rules, word_lists), precedence)
+    resolved = _resolved(text, labels, rules, word_lists, False, precedence)
     return chunk_table(docs, resolved["kept"], key)
 
 
@@ -120,12 +149,12 @@ def deidentify_text(
         raise ValueError("a salt is required")
     if extra_chunks is not None:
         docs = attach_chunks(docs, extra_chunks, key)
-    found = findings(
-        F.col(text), labels, rules, word_lists, F.col("extra") if extra_chunks is not None else None
+    out = docs.withColumn(
+        "resolved", _resolved(text, labels, rules, word_lists, extra_chunks is not None, precedence)
     )
-    out = docs.withColumn("resolved", resolve_findings(found, precedence))
     return out.withColumn(
-        "deidentified", rebuilt_text(F.col(text), F.col("resolved"), salt, policy, surrogates)
+        "deidentified",
+        _rebuilt_column(SparkContext._gateway, text, salt, _items(policy), _items(surrogates)),
     ).select(
         *[c for c in docs.columns if c != "extra"],
         "deidentified",
