@@ -36,7 +36,11 @@ def read_text(spark: SparkSession, path: str, whole_file: bool = False) -> DataF
 
 
 def with_line_ids(lines: DataFrame) -> DataFrame:
-    """Give each row a ``doc_id`` without a shuffle (unique, not consecutive)."""
+    """Give each row a ``doc_id`` without a shuffle (unique, not consecutive).
+
+    Call it right after the read: the number depends on the split and the place in it,
+    which a lost task gets back, and a shuffle would not.
+    """
     return lines.withColumn("doc_id", F.monotonically_increasing_id())
 
 
