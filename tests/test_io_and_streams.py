@@ -63,7 +63,7 @@ def test_asset_lookup(spark, tmp_path):
 
 
 def test_one_folder_per_path(spark, tmp_path):
-    frame = spark.createDataFrame([("/in/a.dcm", 1), ("/in/b.dcm", 2), ("/other/a.dcm", 3)], "path string, v int")
+    frame = spark.createDataFrame([("/in/a.img", 1), ("/in/b.img", 2), ("/other/a.img", 3)], "path string, v int")
     writers.write_per_file(frame, str(tmp_path / "out"))
     folders = [p.name for p in Path(tmp_path / "out").iterdir() if p.is_dir()]
     assert len(folders) == 3 and all(f.startswith("path_key=") for f in folders)

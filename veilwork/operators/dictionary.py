@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from veilwork.functions.arrays import empty_array, let
 from veilwork.functions.text import ascii_lower, clean_text, ngrams, sentences, tokens
-from veilwork.operators.rules import CHUNK_FIELDS, CHUNK_TYPE
+from veilwork.operators.rules import CHUNK_TYPE
 
 MAX_INLINE_PHRASES = 2000
-NGRAM_FIELDS = ("sent_id", "token_id", "n", "begin", "end", "phrase")
 
 
 def sentence_ngrams(text: Column, longest: int) -> Column:
@@ -108,7 +107,3 @@ def _grams_with_text(text: Column, longest: int) -> Column:
             ),
         )
     )
-
-
-def chunk_columns(frame: DataFrame) -> DataFrame:
-    return frame.select("doc_id", *CHUNK_FIELDS)

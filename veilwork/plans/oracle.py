@@ -19,7 +19,6 @@ from veilwork.plans.queries import (
     CHECK_SALT,
     PAGE_WIDTH,
     PLAIN_TOKEN_RULE,
-    RULE_LABELS,
 )
 
 WS = r"[ \t\n\x0B\f\r]"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork import fixtures as fx
-from veilwork.functions.text import clean_text, sentences, tokens
+from veilwork.functions.text import clean_text, sentences
 from veilwork.operators import annotations as ann
 from veilwork.operators import deid, dictionary, imaging, merge, metadata, stats, tagging
 from veilwork.operators.catalog import (
