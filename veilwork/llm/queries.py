@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import quality_classifier, quality_rules, sentencepiece_lattice
+from veilwork.llm import decontamination, quality_classifier, quality_rules, sentencepiece_lattice, toxicity
 from veilwork.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages: a row per document and item."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -26,7 +36,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op7_quality_rules)
+    for f in (op1_sentencepiece, op2_quality_classifier, op5_toxicity, op6_decontamination, op7_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
