@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         return pd.DataFrame({"ordinary": [ordinary], "toxic": [toxic], "weights": [calibrated(x, y[~half].astype(float)).tolist()]})
 
     # the sample is bounded, so one task may hold it
-    made = sample.groupBy(F.lit(1)).applyInPandas(learn, "ordinary binary, toxic binary, weights array<double>").collect()
+    made = sample.withColumn("part", F.lit(1)).groupBy("part").applyInPandas(learn, "ordinary binary, toxic binary, weights array<double>").collect()
     if not made:
         return Model(b"", b"", (0.0,) * (2 * len(SAVINGS) + 1))
     return Model(bytes(made[0]["ordinary"]), bytes(made[0]["toxic"]), tuple(made[0]["weights"]))
