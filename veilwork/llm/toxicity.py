@@ -33,7 +33,7 @@ from veilwork.llm.linear import sigmoid
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: About so many labelled rows, picked by a hash of the id, train dictionaries and calibration.
-MAX_TRAINING_ROWS = 12_000
+MAX_TRAINING_ROWS = 8_000
 WINDOW_BYTES = 31
 GRAM = 5
 #: A toxic k-gram stands in at least and at most these shares of the toxic and of the ordinary training texts.
@@ -154,6 +154,17 @@ def _grams(low: np.ndarray) -> np.ndarray:
     return run
 
 
+def document_counts(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending k-grams and in how many of the texts each stands."""
+    seen, counts = np.empty(0, np.uint64), np.empty(0)
+    for k in range(0, len(rows), 500):
+        own = [np.unique(_grams(np.frombuffer(t, np.uint8))) for t in rows[k : k + 500]]
+        part, n = np.unique(np.concatenate(own), return_counts=True)
+        seen, back = np.unique(np.r_[seen, part], return_inverse=True)
+        counts = np.bincount(back, np.r_[counts, n], len(seen))
+    return seen, counts
+
+
 def _section(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary of about ``size`` bytes, or the samples themselves where there are too few to train on."""
     try:
@@ -164,17 +175,15 @@ def _section(samples: list[bytes], size: int) -> bytes:
 
 def train_dictionaries(rows: list[bytes], toxic: np.ndarray) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents from lower-cased training texts."""
-    counts: list[Counter[int]] = [Counter(), Counter()]
     n = [int((~toxic).sum()), int(toxic.sum())]
-    for text, bad in zip(rows, toxic, strict=True):
-        counts[int(bad)].update(np.unique(_grams(np.frombuffer(text, np.uint8))).tolist())
-    lead = {
-        g: c
-        for g, c in counts[1].items()
-        if c >= max(4, LEAST_SHARE * n[1]) and counts[0].get(g, 0) <= STRAY_SHARE * n[0]
-    }
+    grams, often = document_counts([t for t, bad in zip(rows, toxic, strict=True) if bad])
+    common, stray = document_counts([t for t, bad in zip(rows, toxic, strict=True) if not bad])
+    at = np.searchsorted(common, grams)
+    met = np.r_[common, np.uint64(0)][at] == grams
+    rare = np.where(met, np.r_[stray, 0][at], 0) <= STRAY_SHARE * n[0]
+    keep = rare & (often >= max(3, LEAST_SHARE * n[1]))
+    keys, lead = grams[keep], dict(zip(grams[keep].tolist(), often[keep].tolist(), strict=True))
     words: Counter[bytes] = Counter()
-    keys = np.array(sorted(lead), np.uint64)
     windows: list[bytes] = []
     for text, bad in zip(rows, toxic, strict=True):
         low = np.frombuffer(text, np.uint8)
@@ -191,7 +200,7 @@ def train_dictionaries(rows: list[bytes], toxic: np.ndarray) -> tuple[bytes, byt
     ordinary = _section(windows, ORDINARY_BYTES)
     passages, size, covered = [], 0, set()
     for w, c in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        if c < max(4, 1.5 * LEAST_SHARE * n[1]):
+        if c < max(3, 1.5 * LEAST_SHARE * n[1]):
             break
         grams = set(_grams(np.frombuffer(w, np.uint8)).tolist())
         if size + len(w) <= TOXIC_BYTES and not grams <= covered:
@@ -204,8 +213,8 @@ def train_dictionaries(rows: list[bytes], toxic: np.ndarray) -> tuple[bytes, byt
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Dictionaries and calibration from a bounded sample of labelled rows outside the held-out fold.
 
-    Half of the sample (by a hash of the id) trains the dictionaries, the other half calibrates the score.  Without labelled
-    rows every score is 1/2.
+    All of the sample trains the dictionaries.  The calibration sees each half of it (by a hash of the id) through dictionaries
+    trained on the other half.  Without labelled rows every score is 1/2.
     """
     trained = ~fold(F.col("doc_id"), FOLDS, HELD_OUT) & F.col("doc_id").isNotNull()
     sample = labelled_sample(docs, labels, label, trained, max_rows)
@@ -216,10 +225,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         frame, key = frame.iloc[order], key[order]
         rows, y = [LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in frame["text"]], frame["label"].to_numpy() > 0
         half = (key & np.uint64(1)) == 0
-        ordinary, toxic = train_dictionaries([r for r, h in zip(rows, half, strict=True) if h], y[half])
-        model = Model(ordinary, toxic, ())
-        x = evidence(*savings(model)(pa.array(frame["text"][~half], pa.string())))
-        return pd.DataFrame({"ordinary": [ordinary], "toxic": [toxic], "weights": [calibrated(x, y[~half].astype(float)).tolist()]})
+        x = np.zeros((len(rows), 2 * len(SAVINGS)))
+        for part in (half, ~half):  # evidence of each half with the dictionaries of the other
+            if part.any():
+                other = Model(*train_dictionaries([r for r, p in zip(rows, part, strict=True) if not p], y[~part]), ())
+                x[part] = evidence(*savings(other)(pa.array(frame["text"][part], pa.string())))
+        ordinary, toxic = train_dictionaries(rows, y)
+        return pd.DataFrame({"ordinary": [ordinary], "toxic": [toxic], "weights": [calibrated(x, y.astype(float)).tolist()]})
 
     # the sample is bounded, so one task may hold it
     made = sample.withColumn("part", F.lit(1)).groupBy("part").applyInPandas(learn, "ordinary binary, toxic binary, weights array<double>").collect()
