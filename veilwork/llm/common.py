@@ -171,10 +171,10 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.n
     counts = np.diff(np.r_[firsts, len(rows)])
     short_h, short_r = [], []
     for f, c in zip(firsts[counts < size], counts[counts < size], strict=True):
-        h = np.uint64(c)
+        h = np.array([c], np.uint64)
         for k in range(c):
-            h = mix(np.array([h * np.uint64(31) + words[f + k]], np.uint64))[0]
-        short_h.append(h)
+            h = mix(h * np.uint64(31) + words[f + k])
+        short_h.append(h[0])
         short_r.append(rows[f])
     if short_h:
         out, at = np.r_[out, np.array(short_h, np.uint64)], np.r_[at, np.array(short_r, at.dtype)]
