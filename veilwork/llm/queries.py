@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sentencepiece_lattice, toxicity
+from veilwork.llm import decontamination, hidden_markov, jaccard_join, quality_classifier, quality_rules, sentencepiece_lattice, toxicity
 from veilwork.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document."""
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard_join.components(table(spark, sf_dir, "documents"))
@@ -41,7 +46,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules)
+    for f in (op1_sentencepiece, op2_quality_classifier, op3_hidden_markov, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
