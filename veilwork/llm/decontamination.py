@@ -233,3 +233,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = texts(docs).mapInArrow(run, RESULT)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], RESULT)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no segment of a benchmark item, with all their columns and without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    for items in blocks(benchmark):
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, _, data, offsets in chunks(batch.column("text")):
+                    keep[[first + m[0] for m in matches(own, data, offsets)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

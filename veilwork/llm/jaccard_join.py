@@ -242,3 +242,10 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     of_key = heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component"))
     out = keys.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's smallest, one row per doc_id, and all rows with a null doc_id."""
+    kept = components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

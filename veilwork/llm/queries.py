@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import decontamination, hidden_markov, html_extraction, jaccard_join, quality_classifier, quality_rules, sentencepiece_lattice, toxicity, url_filters
+from veilwork.llm import decontamination, hidden_markov, html_extraction, jaccard_join, pii_supervision, quality_classifier, quality_rules, sentencepiece_lattice, toxicity, url_filters
 from veilwork.llm.common import table
 
 
@@ -55,9 +55,14 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_pii_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii_supervision.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op3_hidden_markov, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_url_filters)
+    for f in (op1_sentencepiece, op2_quality_classifier, op3_hidden_markov, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_pii_supervision)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filters": url_filters.oracle_sql()}

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import LOWER, SPACES, fold, labelled_sample, mix, text_bytes, texts
+from veilwork.llm.common import LOWER, SPACES, fold, labelled_sample, mix, ship, text_bytes, texts
 from veilwork.llm.linear import sigmoid
 
 FOLDS, HELD_OUT = 3, 1
@@ -260,6 +260,24 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns and without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = savings(shared.value)
+        weights = np.array(shared.value.weights)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                p = sigmoid(evidence(*of(part.column("text"))) @ weights[:-1] + weights[-1])
+                yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted); labels are read by the training alone."""
     scored = score(docs, fit(docs, labels))
