@@ -76,7 +76,7 @@ def _written() -> list[str]:
             f'<figure><figcaption>{short}</figcaption></figure><form data-main="0"><label>{short}</label><p>{short}</p></form><aside data-main="0"><p>{long}</p></aside></div>'
             f"<aside><p>{long}</p><ul>{link * 3}</ul></aside><footer><p>{long}</p>{short}</footer></body>"
         )
-    for tag in ("article", "main"):
+    for tag in ("article", "main") * 6:
         pages.append(
             f'<body><header><h1>{short}</h1></header><nav>{link * 3}</nav>{short}<{tag} data-main="1"><header><h1>{short}</h1></header><p>{long}</p>{long}<section><h2>{short}</h2><p>{short}</p><div><p>{long}</p></div></section>'
             f'<nav data-main="0"><a href="/x">{short}</a></nav><footer data-main="0"><p>{short}</p></footer></{tag}><header><h2>{short}</h2><p>{short}</p></header><form><p>{short}</p></form><dialog><p>{short}</p></dialog><footer>{short}</footer></body>'
