@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions.arrays import empty_array, let
-from veilwork.functions.text import ascii_lower, clean_text, ngrams, sentences, tokens
+from veilwork.functions.text import (
+    SENTENCE_END,
+    TRIMMED_PUNCTUATION,
+    ascii_lower,
+    clean_text,
+    ngrams,
+    sentence_counter,
+    sentences,
+    tokens,
+)
 from veilwork.operators.rules import CHUNK_TYPE
 
 MAX_INLINE_PHRASES = 2000
 
 
+def plain_phrase(phrase: str) -> str:
+    """A phrase as n-grams write it: cut like a text, A-Z lowered, tokens joined by one blank."""
+    cut = (w.strip(TRIMMED_PUNCTUATION) for w in re.split(r"[ \t\n\x0B\f\r]+", phrase))
+    return re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(w for w in cut if w))
+
+
+def phrase_table(dictionary: DataFrame) -> DataFrame:
+    """(entity, phrase, n, crosses) of a dictionary: phrases as n-grams write them, their tokens, and whether a sentence ends inside."""
+    plain = clean_text(F.col("phrase"))
+    cut = F.transform(tokens(plain), lambda t: t["token"])
+    return (
+        dictionary.select("entity", cut.alias("cut"), F.rlike(F.trim(plain), F.lit(SENTENCE_END + r"[^ \t\n\x0B\f\r]")).alias("crosses"))
+        .select("entity", ascii_lower(F.array_join("cut", " ")).alias("phrase"), F.size("cut").alias("n"), F.coalesce("crosses", F.lit(False)).alias("crosses"))
+        .where("n > 0")
+        .distinct()
+    )
+
+
 def sentence_ngrams(text: Column, longest: int) -> Column:
     """All n-grams of a text as (sent_id, token_id, n, begin, end, phrase)."""
     return F.flatten(
@@ -40,7 +68,8 @@ def word_findings(text: Column, lists: Mapping[str, Sequence[str]]) -> Column:
         raise ValueError("too many phrases to inline; use dictionary_chunks")
     if not lists:
         return F.when(text.isNotNull(), empty_array(CHUNK_TYPE))
-    longest = max(len(p.split()) for ps in lists.values() for p in ps)
+    lists = {e: [q for p in ps if (q := plain_phrase(p))] for e, ps in lists.items()}
+    longest = max((len(p.split()) for ps in lists.values() for p in ps), default=1)
 
     def on_clean(t: Column) -> Column:
         def hits(g: Column) -> Column:
@@ -48,7 +77,7 @@ def word_findings(text: Column, lists: Mapping[str, Sequence[str]]) -> Column:
                 F.array(
                     *[
                         F.when(
-                            g["phrase"].isin(*[p.lower() for p in phrases]),
+                            g["phrase"].isin(*phrases),
                             F.struct(
                                 g["sent_id"].alias("sent_id"),
                                 g["begin"].alias("begin"),
@@ -63,7 +92,7 @@ def word_findings(text: Column, lists: Mapping[str, Sequence[str]]) -> Column:
                 )
             )
 
-        every = [p.lower() for ps in lists.values() for p in ps]
+        every = [p for ps in lists.values() for p in ps]
         known = F.filter(sentence_ngrams(t, longest), lambda g: g["phrase"].isin(*every))
         return F.flatten(F.transform(known, hits))
 
@@ -71,22 +100,28 @@ def word_findings(text: Column, lists: Mapping[str, Sequence[str]]) -> Column:
 
 
 def dictionary_chunks(
-    docs: DataFrame, dictionary: DataFrame, longest: int, detector: str = "dictionary"
+    docs: DataFrame, dictionary: DataFrame, detector: str = "dictionary"
 ) -> DataFrame:
     """Findings of a dictionary table ``(entity, phrase)`` of any size.
 
+    Phrases are cut by the tokeniser of the texts, and the longest of them (one aggregate over the dictionary) sets how
+    long n-grams get, so none is missed.  Phrases with a sentence end inside match across that end.
+
     N-grams are joined to the dictionary on the phrase.  Spark broadcasts the
     dictionary only while its estimated or measured size is below the session's
     broadcast threshold and shuffles both sides otherwise; a frequent phrase then is
     a large key on the n-gram side only, which the adaptive skew join splits.
     """
-    phrases = dictionary.select(
-        F.col("entity"), ascii_lower(F.col("phrase")).alias("phrase")
-    ).distinct()
-    grams = docs.select(
-        "doc_id", F.inline_outer(_grams_with_text(clean_text(F.col("text")), longest))
-    ).filter(F.col("phrase").isNotNull())
-    return grams.join(phrases, "phrase").select(
+    phrases = phrase_table(dictionary)
+    sizes = phrases.agg(F.max("n").alias("n"), F.max("crosses").alias("crosses")).first()
+    longest = sizes["n"] or 1
+    text = clean_text(F.col("text"))
+    found = _grams_across_sentences(text, longest) if sizes["crosses"] else _grams_with_text(text, longest)
+    grams = docs.select("doc_id", F.inline_outer(found)).filter(F.col("phrase").isNotNull())
+    if sizes["crosses"]:
+        grams = grams.withColumn("crosses", F.rlike("chunk", F.lit(SENTENCE_END)))
+    keys = ["phrase", "crosses"] if sizes["crosses"] else ["phrase"]
+    return grams.join(phrases.select("entity", *keys), keys).select(
         "doc_id", "sent_id", "begin", "end", "chunk", "entity", F.lit(detector).alias("detector")
     )
 
@@ -107,3 +142,21 @@ def _grams_with_text(text: Column, longest: int) -> Column:
             ),
         )
     )
+
+
+def _grams_across_sentences(text: Column, longest: int) -> Column:
+    """N-grams of a whole text, numbered by the sentence they begin in."""
+
+    def of(number) -> Column:
+        return F.transform(
+            ngrams(tokens(text), longest),
+            lambda g: F.struct(
+                number(g["begin"]).alias("sent_id"),
+                g["begin"].alias("begin"),
+                g["end"].alias("end"),
+                F.substring(text, g["begin"] + 1, g["end"] - g["begin"]).alias("chunk"),
+                g["phrase"].alias("phrase"),
+            ),
+        )
+
+    return sentence_counter(text)(of)

@@ -24,13 +24,13 @@ POSITION_BLOCK_BITS = 16
 
 
 def requested_labels(labels: Iterable[str] | None) -> tuple[str, ...]:
-    """The labels to find: defaults if none are named, renames applied, empty refused."""
+    """The labels to find: defaults if none are named, empty refused; a renamed label counts under both names."""
     if labels is None:
         labels = DEFAULT_LABELS
     labels = tuple(labels)
     if not labels:
         raise ValueError("the list of requested labels is empty")
-    return tuple(sorted({LABEL_RENAMES.get(x, x) for x in labels}))
+    return tuple(sorted({LABEL_RENAMES.get(x, x) for x in labels} | set(labels)))
 
 
 def renamed(entity: Column, detector: Column) -> Column:

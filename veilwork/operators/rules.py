@@ -167,7 +167,7 @@ def _if_possible(rule: Rule, text: Column, found: Column) -> Column:
 
 def context_gate(rule: Rule) -> str:
     """A cheap regex that any text holding one of the rule's words must match."""
-    return _alternatives([re.findall(f"[{ALNUM}]+", w)[-1] for w in rule.prefix + rule.suffix])
+    return _alternatives([(re.findall(f"[{ALNUM}]+", w) or [w])[-1] for w in rule.prefix + rule.suffix])
 
 
 def _token_hits(rule: Rule, m: Column) -> Column:

@@ -381,7 +381,7 @@ def build() -> dict[str, str]:
     o["token_vectors"] = with_all(
         ITEMS, TURNS, sents("items").replace("sents AS", "item_sents AS"),
         TOKS.replace("toks AS", "item_toks AS").replace("FROM sents", "FROM item_sents"),
-        f"vectors AS (SELECT token, embedding FROM (SELECT DISTINCT tok AS token, {surrogate_index(500, 'sha256(tok)')} "
+        f"vectors AS (SELECT token, embedding FROM (SELECT DISTINCT tok AS token, {surrogate_index('(SELECT count(*) FROM embeddings)', 'sha256(tok)')} "
         "AS v FROM item_toks) JOIN embeddings ON vec_id = v)",
         sents("turns"), TOKS,
         then="SELECT doc_id, sent_id, token_id, tok AS token, cast(coalesce(embedding[1], 0) AS DOUBLE) AS first, "
@@ -490,8 +490,11 @@ FROM (SELECT *, "begin" // 16 AS b FROM spans) LEFT JOIN {RANKS} ON detector = r
     o["consistent_surrogates"] = notes_kept(
         "SELECT entity, chunk, cast(1 AS BIGINT) AS surrogates, count(*) AS n FROM kept GROUP BY entity, chunk"
     )
-    o["deidentify_text"] = notes_kept(
-        "SELECT doc_id, deidentified FROM rebuilt", rebuild("notes", "kept", CHECK_POLICY)
+    # Skipped labels leave before overlaps are resolved.
+    unskipped = tuple(r for r in ctx if CHECK_POLICY.get(r.entity) != "skip")
+    o["deidentify_text"] = findings(
+        unskipped, "notes", NOTES, "SELECT doc_id, deidentified FROM rebuilt", True,
+        (*greedy("raw"), *rebuild("notes", "kept", CHECK_POLICY)),
     )
     o["text_sink"] = notes_kept("SELECT deidentified AS text FROM rebuilt", rebuild("notes", "kept", None))
     masks = {"PHONE": "mask_label", "EMAIL": "mask_label"}
@@ -593,8 +596,8 @@ FROM cells LEFT JOIN (SELECT DISTINCT page_id, y, x FROM covered) r USING (page_
 
     # A finding as wide as its tokens' outer edges, so punctuation inside stays and edges are trimmed.
     covered = (
-        "covered AS (SELECT t.doc_id, t.sent_id, t.token_id, t.b, t.e, tok, min(CASE WHEN b = k.\"begin\" THEN 'B-' ELSE 'I-' "
-        "END || entity) AS tag FROM toks t LEFT JOIN kept k ON k.doc_id = t.doc_id AND b >= k.\"begin\" AND b < k.\"end\" "
+        "covered AS (SELECT t.doc_id, t.sent_id, t.token_id, t.b, t.e, tok, min(CASE WHEN b <= k.\"begin\" THEN 'B-' ELSE 'I-' "
+        "END || entity) AS tag FROM toks t LEFT JOIN kept k ON k.doc_id = t.doc_id AND k.\"begin\" < t.e AND b < k.\"end\" "
         "GROUP BY ALL)"
     )
     islands = """marked AS (SELECT *, substr(tag, 3) AS entity, lag(substr(tag, 3)) OVER w AS before FROM {} WINDOW w AS

@@ -204,7 +204,7 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the turns joined to stored vectors of the benchmark's vocabulary."""
     items = fx.as_docs(fx.table(spark, sf_dir, "benchmark"), "item_id")
     vocabulary = tagging.token_table(items).select("token").distinct()
-    vec_id = F.pmod(F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("bigint"), F.lit(500))
+    vec_id = F.pmod(F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("bigint"), F.lit(fx.table(spark, sf_dir, "embeddings").count()))
     vectors = vocabulary.withColumn("vec_id", vec_id).join(
         fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id"
     ).select("token", "embedding")
@@ -321,7 +321,7 @@ def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dictionary_join")
 def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.dictionary_chunks(fx.note_docs(spark, sf_dir), _dictionary(spark, sf_dir), 2)
+    return dictionary.dictionary_chunks(fx.note_docs(spark, sf_dir), _dictionary(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- labels and merge
@@ -520,7 +520,7 @@ def deidentify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deidentify_with_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule findings together with those of a dictionary join."""
     docs = fx.note_docs(spark, sf_dir)
-    extra = dictionary.dictionary_chunks(docs, _dictionary(spark, sf_dir), 2)
+    extra = dictionary.dictionary_chunks(docs, _dictionary(spark, sf_dir))
     return deidentify_text(
         docs, CHECK_SALT, ("PATIENT", "COUNTRY", "SSN"),
         {"PATIENT": "mask_label", "COUNTRY": "mask_label", "SSN": "mask_label"},

@@ -26,6 +26,7 @@ from veilwork.operators.catalog import (
 from veilwork.operators.deid import rebuilt_text
 from veilwork.operators.dictionary import word_findings
 from veilwork.operators.merge import (
+    SPAN_TYPE,
     rename_findings,
     requested_labels,
     resolve_findings,
@@ -142,11 +143,15 @@ def deidentify_text(
 ) -> DataFrame:
     """``(key, ..., deidentified, chunks)``: every input row with its rewritten text.
 
+    Labels the policy skips are left out before overlaps are resolved, so they never shield another label's finding.
     ``chunks`` are the findings replaced.  The original text column is kept beside
     the new one; drop it before writing.
     """
     if not salt:
         raise ValueError("a salt is required")
+    labels = [x for x in requested_labels(labels) if (policy or {}).get(x) != "skip"]
+    if not labels:
+        return docs.withColumns({"deidentified": F.col(text), "chunks": empty_array(CHUNK_TYPE), "residual": empty_array(SPAN_TYPE)})
     if extra_chunks is not None:
         docs = attach_chunks(docs, extra_chunks, key)
     out = docs.withColumn(
