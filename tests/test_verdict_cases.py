@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.operators import dictionary, imaging, stats, tagging
 from veilwork.operators.merge import requested_labels
 from veilwork.operators.rules import Rule, rule_findings
+from veilwork.plans.pages import deidentify_pages
 from veilwork.plans.text import chunk_table, deidentify_text, find_entities
 
 CHUNKS = "doc_id long, sent_id int, begin int, end int, chunk string, entity string, detector string"
@@ -72,3 +73,32 @@ def test_regions_of_pages_without_a_size(spark):
     boxes = spark.createDataFrame([(p, 0, 0, 4, 10, 10, 50, 8) for p in (1, 2)], "page_id long, word_id int, b int, e int, x int, y int, w int, h int")
     sizes = spark.createDataFrame([(1, 30, 30)], "page_id long, width int, height int")
     assert {r["page_id"] for r in imaging.find_regions(chunks, boxes, page_sizes=sizes).collect()} == {1, 2}
+
+
+def test_sub_token_rules_match_inside_sentences(spark):
+    rule = Rule("AGE", r"[0-9]+(?:\.? ?[0-9]+)?", match_scope="sub-token")
+    rows = chunk_table(docs(spark, "12. 34 and 5.6 7", "1 2"), rule_findings(F.col("text"), [rule])).orderBy("doc_id", "begin").collect()
+    assert [(r["doc_id"], r["sent_id"], r["begin"], r["chunk"]) for r in rows] == [(0, 0, 0, "12"), (0, 1, 4, "34"), (0, 1, 11, "5.6"), (0, 1, 15, "7"), (1, 0, 0, "1 2")]
+
+
+def test_token_rules_may_look_at_the_whole_document(spark):
+    rule = Rule("IDNUM", "[0-9]{5}", rule_scope="document", prefix=("number",), context_length=10)
+    near = Rule("IDNUM", "[0-9]{5}", prefix=("number",), context_length=10)
+    text = docs(spark, "The number. 12345 stands here")
+    assert [(r["sent_id"], r["chunk"]) for r in chunk_table(text, rule_findings(F.col("text"), [rule])).collect()] == [(-1, "12345")]
+    assert chunk_table(text, rule_findings(F.col("text"), [near])).count() == 0
+
+
+def test_page_and_count_entry_points_take_a_dictionary(spark):
+    listed = spark.createDataFrame([("HOSPITAL", "Mercy West")], "entity string, phrase string")
+    text = docs(spark, "at Mercy West")
+    found = find_entities(text, ["HOSPITAL"], extra_chunks=dictionary.dictionary_chunks(text, listed))
+    assert [r["chunk"] for r in found.collect()] == ["Mercy West"]
+    with pytest.warns(UserWarning, match="HOSPITAL"):
+        find_entities(text, ["HOSPITAL"])
+    words = spark.createDataFrame([(1, 0, "at"), (1, 1, "Mercy"), (1, 2, "West")], "page_id long, word_id int, word string")
+    boxes = spark.createDataFrame([(1, k, 10 * k, 0, 8, 8) for k in range(3)], "page_id long, word_id int, x int, y int, w int, h int")
+    pixels = spark.createDataFrame([(1, y, [200] * 40) for y in range(8)], "image_id long, y int, px array<int>")
+    result = deidentify_pages(pixels, words, boxes, ["HOSPITAL"], dictionary=listed)
+    assert [r["entity"] for r in result.chunks.collect()] == ["HOSPITAL"] and result.regions.count() == 1
+    result.release()

@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilwork.functions.arrays import TEXT_BLOCK, block_substring, empty_array, let, text_blocks
-from veilwork.functions.text import SENTENCE_END, clean_text, find_matches, sentence_counter, text_tokens
+from veilwork.functions.text import SENTENCE_END, clean_text, find_matches, sentence_counter, sentences, text_tokens
 
 CHUNK_TYPE = (
     "struct<sent_id:int,begin:int,end:int,chunk:string,entity:string,detector:string>"
@@ -151,11 +151,31 @@ def _sub_token_matches(rule: Rule, text: Column) -> Column:
     found = find_matches(text, _flags(rule) + rule.regex)
     if rule.keep:
         found = F.filter(found, lambda m: m["match"].rlike(rule.keep))
-    if rule.rule_scope == "sentence":
-        found = F.filter(found, lambda m: ~m["match"].rlike(SENTENCE_END))
     return found
 
 
+def _in_sentences(rule: Rule, text: Column) -> Column:
+    """Matches inside the sentences.  Where no match of the whole text crosses a sentence end, these are the same."""
+
+    def one_by_one() -> Column:
+        return F.flatten(
+            F.transform(
+                sentences(text),
+                lambda s: F.transform(
+                    _sub_token_matches(rule, s["sentence"]),
+                    lambda m: F.struct(
+                        (m["begin"] + s["begin"]).alias("begin"), (m["end"] + s["begin"]).alias("end"), m["match"].alias("match")
+                    ),
+                ),
+            )
+        )
+
+    return let(
+        _sub_token_matches(rule, text),
+        lambda found: F.when(F.exists(found, lambda m: m["match"].rlike(SENTENCE_END)), one_by_one()).otherwise(found),
+    )
+
+
 def _if_possible(rule: Rule, text: Column, found: Column) -> Column:
     """Skip a rule in texts that hold none of its context words (or no digit or ``@``)."""
     gates = [text.rlike("[0-9@]")] if rule.signal else []
@@ -229,9 +249,6 @@ def rule_findings(text: Column, rules: Sequence[Rule]) -> Column:
     rules = tuple(rules)
     if not rules:
         return F.when(text.isNotNull(), empty_array(CHUNK_TYPE))
-    for r in rules:
-        if r.match_scope == "token" and r.rule_scope == "document":
-            raise ValueError("token rules look for context inside the sentence")
     token_rules = [r for r in rules if r.match_scope == "token"]
     sub_rules = [r for r in rules if r.match_scope == "sub-token"]
 
@@ -242,14 +259,17 @@ def rule_findings(text: Column, rules: Sequence[Rule]) -> Column:
             ).otherwise(block_substring(blocks, begin, end))
 
         parts = [
-            _if_possible(r, t, _decide(r, _sub_token_matches(r, t), window, size)) for r in sub_rules
+            _if_possible(
+                r, t, _decide(r, (_in_sentences if r.rule_scope == "sentence" else _sub_token_matches)(r, t), window, size)
+            )
+            for r in sub_rules
         ]
         if token_rules:
             signal_only = all(r.signal for r in token_rules)
             parts.append(
                 let(
                     text_tokens(t, signal_only),
-                    lambda toks: F.concat(*[_decide(r, toks, window, size) for r in token_rules]),
+                    lambda toks: F.concat(*[_if_possible(r, t, _decide(r, toks, window, size)) for r in token_rules]),
                 )
             )
         document_detectors = sorted({r.detector for r in rules if r.rule_scope == "document"})

@@ -514,6 +514,14 @@ FROM (SELECT *, "begin" // 16 AS b FROM spans) LEFT JOIN {RANKS} ON detector = r
         (grams(2), DICTIONARY, both, *greedy("both_chunks"),
          *rebuild("notes", "kept", {e: "mask_label" for e in ("PATIENT", "COUNTRY", "SSN")})),
     )
+    o["count_entities_all_detectors"] = findings(
+        (by["SSN"],), "notes", NOTES, counts.format("kept"), True,
+        (grams(2), DICTIONARY, both, *greedy("both_chunks")),
+    )
+    o["policy_skip_overlap"] = findings(
+        (by["MEDICALRECORD"],), "notes", NOTES, "SELECT doc_id, deidentified FROM rebuilt", True,
+        (*greedy("raw"), *rebuild("notes", "kept", {"MEDICALRECORD": "mask_label"})),
+    )
     o["metadata_deidentify"] = (
         "SELECT event_id, json_extract_string(props, '$.k') AS k, '<NAME>' AS patient_name, 'SSN <SSN>' AS comment FROM events"
     )

@@ -528,6 +528,23 @@ def deidentify_with_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "deidentified")
 
 
+@query("count_entities_all_detectors")
+def count_entities_all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by label when a dictionary's findings take part in overlaps."""
+    docs = fx.note_docs(spark, sf_dir)
+    extra = dictionary.dictionary_chunks(docs, _dictionary(spark, sf_dir))
+    return count_entities(find_entities(docs, ("PATIENT", "COUNTRY", "SSN"), CONTEXT_RULES, extra_chunks=extra))
+
+
+@query("policy_skip_overlap")
+def policy_skip_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skipped label must not shield the digits of another one that it overlaps."""
+    return deidentify_text(
+        fx.note_docs(spark, sf_dir), CHECK_SALT, ("ZIP", "MEDICALRECORD"),
+        {"ZIP": "skip", "MEDICALRECORD": "mask_label"}, CONTEXT_RULES,
+    ).select("doc_id", "deidentified")
+
+
 @query("metadata_deidentify")
 def metadata_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as maps, plus a name and a note that need scrubbing."""

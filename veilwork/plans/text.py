@@ -7,6 +7,7 @@ splits; only counting shuffles, after partial aggregation.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
 
@@ -48,6 +49,17 @@ def pruned_rules(rules: Sequence[Rule], labels: Sequence[str]) -> tuple[Rule, ..
     return tuple(keep)
 
 
+def warn_of_labels_without_detector(
+    labels: Iterable[str] | None, rules: Sequence[Rule], word_lists: Mapping[str, Sequence[str]]
+) -> None:
+    """Tell a caller that names labels which nothing here can find, so that silence is not taken for absence."""
+    known = {r.entity for r in rules} | set(word_lists)
+    known |= {LABEL_RENAMES.get(x, x) for x in known}
+    lost = sorted({x for x in labels or () if x not in known and LABEL_RENAMES.get(x, x) not in known})
+    if lost:
+        warnings.warn(f"no detector for {', '.join(lost)}; give their findings as extra_chunks", stacklevel=3)
+
+
 def findings(
     text: Column,
     labels: Iterable[str] | None = None,
@@ -112,9 +124,17 @@ def find_entities(
     text: str = "text",
     precedence: Sequence[tuple[str, str]] = PRECEDENCE,
     word_lists: Mapping[str, Sequence[str]] = WORD_LISTS,
+    extra_chunks: DataFrame | None = None,
 ) -> DataFrame:
-    """Disjoint findings of every document as ``(key, sent_id, begin, end, chunk, ...)``."""
-    resolved = _resolved(text, labels, rules, word_lists, False, precedence)
+    """Disjoint findings of every document as ``(key, sent_id, begin, end, chunk, ...)``.
+
+    ``extra_chunks`` are findings of a dictionary join or a tagger; they take part in overlaps like the others.
+    """
+    if extra_chunks is None:
+        warn_of_labels_without_detector(labels, rules, word_lists)
+    else:
+        docs = attach_chunks(docs.select(key, text), extra_chunks, key)
+    resolved = _resolved(text, labels, rules, word_lists, extra_chunks is not None, precedence)
     return chunk_table(docs, resolved["kept"], key)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.operators.dictionary import dictionary_chunks
 from veilwork.operators.stats import file_statistics, summary_records
 from veilwork.plans.text import deidentify_text
 from veilwork.sources.readers import BINARY_SCHEMA, TEXT_SCHEMA
@@ -39,21 +40,23 @@ def run_intake(
     salt: str,
     labels: Iterable[str] | None = None,
     policy: Mapping[str, str] | None = None,
+    dictionary: DataFrame | None = None,
 ) -> None:
     """De-identify all files that have arrived, then stop.
 
     Each micro-batch overwrites its own folder, so a batch that is run again after a
     failure leaves the same output.  Texts go to ``output/text``, summaries to
-    ``output/summary``.
+    ``output/summary``, one for every file of the batch.  ``dictionary(entity, phrase)`` adds its findings to those of the rules.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        done = deidentify_text(batch, salt, labels, policy).persist()
+        extra = dictionary_chunks(batch, dictionary) if dictionary is not None else None
+        done = deidentify_text(batch, salt, labels, policy, extra_chunks=extra).persist()
         try:
             done.select("path", "deidentified").write.mode("overwrite").parquet(
                 f"{output}/text/batch={batch_id}"
             )
-            summary_records(file_statistics(done)).write.mode("overwrite").parquet(
+            summary_records(file_statistics(done), batch).write.mode("overwrite").parquet(
                 f"{output}/summary/batch={batch_id}"
             )
         finally:
