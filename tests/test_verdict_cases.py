@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import dictionary, imaging, stats, tagging
 from veilwork.operators.merge import requested_labels
+from veilwork.operators.metadata import deidentify_metadata
 from veilwork.operators.rules import Rule, rule_findings
 from veilwork.plans.pages import deidentify_pages
 from veilwork.plans.text import chunk_table, deidentify_text, find_entities
@@ -102,3 +103,10 @@ def test_page_and_count_entry_points_take_a_dictionary(spark):
     result = deidentify_pages(pixels, words, boxes, ["HOSPITAL"], dictionary=listed)
     assert [r["entity"] for r in result.chunks.collect()] == ["HOSPITAL"] and result.regions.count() == 1
     result.release()
+
+
+def test_metadata_keeps_clashing_columns_and_reads_word_lists(spark):
+    rows = spark.sql("select 1 as deidentified, 'k' as chunks, map('sex', 'female', 'n', cast(null as string)) as metadata union all select 2, 'j', null")
+    far = Rule("IDNUM", "[0-9]{5}", prefix=("badge",), context_length=300)
+    got = deidentify_metadata(rows, "s", {}, labels=["GENDER", "IDNUM"], policy={"GENDER": "mask_label"}, rules=[far]).collect()
+    assert {r["deidentified"]: (r["chunks"], r["metadata"]) for r in got} == {1: ("k", {"sex": "<GENDER>", "n": None}), 2: ("j", None)}

@@ -37,11 +37,12 @@ def path_key(path: Column) -> Column:
 def write_per_file(frame: DataFrame, output: str, rows_per_file: int = 1_000_000) -> None:
     """One output folder per source path.
 
-    Rows are not regrouped by path, so a source with a large share of the rows is
-    written by many tasks; ``rows_per_file`` bounds each file.
+    Rows are rebalanced by path: a small source ends in one file, and a source with a large share of the rows is split
+    over many tasks; ``rows_per_file`` bounds each file.
     """
     (
         frame.withColumn("path_key", path_key(F.col("path")))
+        .hint("rebalance", F.col("path_key"))
         .write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("path_key")
