@@ -154,8 +154,28 @@ def _sub_token_matches(rule: Rule, text: Column) -> Column:
     return found
 
 
+_CLASS = re.compile(r"\[(\^?)((?:\\.|[^\]\\])*)\]")
+
+
+def may_cross(rule: Rule) -> bool:
+    """False only if no match of the rule's regex can hold a sentence end: a stop before white space, or a newline."""
+    classes, rest = _CLASS.findall(rule.regex), _CLASS.sub("", rule.regex)
+    wild = re.search(r"(?<!\\)\.|\\[WDS]", rest)
+
+    def some(members: str, escapes: str) -> bool:
+        inside = lambda c: any(m in c for m in members) or re.search(rf"\\[{escapes}]", c)
+        shut_out = lambda c: all(m in c for m in members)
+        return any(not shut_out(c) if negated else inside(c) for negated, c in classes)
+
+    space = wild or re.search(r"[ \n\t]|\\[sntfr]", rest) or some(" ", "sntfrWD")
+    stop = wild or re.search(r"\\[.?!sn]|!", rest) or some(".?!", "snWD")
+    return bool(space and stop)
+
+
 def _in_sentences(rule: Rule, text: Column) -> Column:
     """Matches inside the sentences.  Where no match of the whole text crosses a sentence end, these are the same."""
+    if not may_cross(rule):
+        return _sub_token_matches(rule, text)
 
     def one_by_one() -> Column:
         return F.flatten(
