@@ -10,9 +10,12 @@ with room for ``m`` weak ones: if a pair agrees on no strong part, it agrees on
 parts therefore also emit the first (weak - m) of their weak parts in a global order (prefix filtering: two subsets that share
 more than m elements share one of those), and all other weak parts stay silent.  Nothing is lost and no bucket is capped.
 
-Equal sets are first folded into classes.  Candidates are verified exactly in two rounds: each class against the least class of
-every signature it shares, then, with components formed from those links, only classes of different components that share a
-signature.  So a group of thousands of near copies costs a star and not all pairs, while no link between components is missed.
+Equal sets are first folded into classes.  Each class is compared exactly with the least class (the hub) of every signature it has, and
+components are formed from those links.  What is left are links between two members u, v of one hub h that lie in different
+components.  With the differences D(u) = u xor h, the Hamming distance of u and v is |D(u)| + |D(v)| - 2 |D(u) and D(v)|, so a link
+needs a known overlap of the two differences (never zero: otherwise both link with h).  These are found by a prefix and
+positional filter on the differences, features that h lacks first, and verified exactly.  So a group of thousands of near copies
+costs a star and not all pairs, while no link between components is missed.
 """
 
 from __future__ import annotations
@@ -122,24 +125,24 @@ FOLD = 1 << 20
 
 
 def locally_folded(classes: DataFrame, hubs: bool) -> DataFrame:
-    """(sig, id, n, hub, hub_n): within each task, members of a signature point to the least of them, the local hub.
+    """(sig, id, hub): within each task, members of a signature point to the least of them, the local hub.
 
     With ``hubs`` the hubs themselves are given, else the other members.  Only hubs go on to meet other tasks' rows, so what one
     signature brings to a shuffle is bounded by the number of tasks.
     """
 
-    def folded(sig: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def folded(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, sig))
-        sig, ids, n = sig[order], ids[order], n[order]
+        sig, ids = sig[order], ids[order]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         at = np.repeat(first, np.diff(np.r_[first, len(sig)]))
         keep = (ids == ids[at]) == hubs
         if hubs:
             keep &= np.arange(len(sig)) == at
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, ids, n, ids[at], n[at])], ["sig", "id", "n", "hub", "hub_n"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, ids, ids[at])], ["sig", "id", "hub"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
@@ -147,7 +150,7 @@ def locally_folded(classes: DataFrame, hubs: bool) -> DataFrame:
                 lists = part.column("sigs")
                 count = np.diff(lists.offsets.to_numpy())
                 sig = lists.flatten().to_numpy(zero_copy_only=False)
-                held.append((sig, np.repeat(part.column("id").to_numpy(), count), np.repeat(part.column("n").to_numpy(), count)))
+                held.append((sig, np.repeat(part.column("id").to_numpy(), count)))
                 size += len(sig)
                 if size >= FOLD:
                     yield folded(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -155,44 +158,76 @@ def locally_folded(classes: DataFrame, hubs: bool) -> DataFrame:
         if size:
             yield folded(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return classes.mapInArrow(run, "sig long, id long, n long, hub long, hub_n long")
+    return classes.mapInArrow(run, "sig long, id long, hub long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, features) of the documents in ``wanted`` (id)."""
+    """(id, features) of the documents in ``wanted`` (id), without empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                sets = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "features"])
+                sets = [s.tobytes() or None for s in shingle_sets(part.column("text"), words)]
+                made = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "features"])
+                yield made.filter(made.column("features").is_valid())
 
     ids = wanted.select(F.col("id").alias("doc_id")).hint("shuffle_hash")
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, features binary").dropDuplicates()
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, fa, fb): the feature sets of both sides of each pair."""
+    left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
+    right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb")
+
+
+def both_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pair: the sets, and which features of the first stand in the second."""
+    last, held = None, np.empty(0, np.uint64)
+    for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
+        raw = y.as_buffer()
+        if last is None or not raw.equals(last):
+            last, held = raw, np.frombuffer(raw, np.uint64)
+        a = np.frombuffer(x.as_buffer(), np.uint64)
+        yield a, held, held[np.minimum(np.searchsorted(held, a), len(held) - 1)] == a
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, held = [], None, None
-            for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
-                raw = y.as_buffer()
-                b = np.frombuffer(raw, np.uint64)
-                if last is None or not raw.equals(last):
-                    last, held = raw, b
-                a = np.frombuffer(x.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(held, a), len(held) - 1)
-                both = int(np.count_nonzero(held[at] == a))
-                keep.append(100 * both >= percent * (len(a) + len(held) - both))
+            keep = [100 * (n := int(met.sum())) >= percent * (len(a) + len(b) - n) for a, b, met in both_sets(batch)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, x, id, place, d, n): of each pair (a, hub b), the prefix of a's difference from the hub that any link must touch.
+
+    Features the hub lacks come first, then those only the hub has, each by hash: one order for all members of a hub.  A set of n
+    features links with nothing at a Hamming distance above ``B = n (1 - t) / t``, so a difference of d features overlaps any partner's
+    in at least ``max(1, d - B)`` and the first ``min(d, B + 1)`` features suffice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hubs = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for i, h, (a, b, met) in zip(ids, hubs, both_sets(batch), strict=True):
+                lacking = b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
+                x = np.r_[a[~met], lacking]
+                d = len(x)
+                x = x[: min(d, len(a) * (100 - percent) // percent + 1)]
+                for c, v in zip(out, (np.full(len(x), h), x.view(np.int64), np.full(len(x), i), np.arange(len(x)), np.full(len(x), d), np.full(len(x), len(a))), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["hub", "x", "id", "place", "d", "n"])
+
+    return with_sets(pairs, sets).mapInArrow(run, "hub long, x long, id long, place long, d long, n long")
 
 
 def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -209,34 +244,30 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     # one class per set; the smallest id stands for it
     heads = saved(keys.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     classes = keys.join(heads, ["key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sigs")
-    # hubs meet by signature; members keep their local hub
-    met = locally_folded(classes, True).select("sig", "id", "n").withColumn("lo", F.expr("min(struct(id, n)) over (partition by sig)")).withColumn("hi", F.expr("max(id) over (partition by sig)"))
-    shared = saved(
-        met.where("lo.id <> hi").select("sig", "id", "n", F.col("lo.id").alias("hub"), F.col("lo.n").alias("hub_n"))
-        .unionByName(locally_folded(classes, False))
-    )
-    close = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    star = saved(shared.where("id <> hub").where(close).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    # hubs meet by signature; members take over the hub of their local hub
+    met = locally_folded(classes, True).select("sig", "id").withColumn("lo", F.expr("min(id) over (partition by sig)")).withColumn("hi", F.expr("max(id) over (partition by sig)"))
+    met = saved(met.where("lo <> hi").select("sig", "id", "lo"))
+    least = met.select("sig", F.col("id").alias("hub"), "lo")
+    members = locally_folded(classes, False).join(least, ["sig", "hub"], "left").select(F.col("id").alias("a"), F.coalesce("lo", "hub").alias("b"))
+    star = saved(met.select(F.col("id").alias("a"), F.col("lo").alias("b")).union(members).where("a <> b").distinct())
     wanted = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
     sets = saved(sets_of(base, wanted, words))
     links = saved(verified(star, sets, percent))
     found = connected_components(links)
-    # classes of different components that share a signature, without the pairs already looked at
-    members = shared.select("sig", "id", "n").union(shared.select("sig", F.col("hub").alias("id"), F.col("hub_n").alias("n"))).distinct()
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = saved(placed)
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rest = placed.join(mixed, "sig", "left_semi")
-    other = rest.select("sig", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    cross = (
-        rest.select("sig", F.col("id").alias("a"), "n", "component").join(other, "sig")
-        .where(F.expr(f"component <> bc and a > b and 100 * least(n, bn) >= {percent} * greatest(n, bn)"))
-        .select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    )
-    cross = saved(cross)
-    lacking = saved(cross.select(F.col("a").alias("id")).union(cross.select(F.col("b").alias("id"))).distinct().join(sets.select("id").distinct(), "id", "left_anti"))
-    if not lacking.isEmpty():
-        sets = sets.unionByName(sets_of(base, lacking, words))
+    # members of one hub in different components
+    component = found.select(F.col("node").alias("a"), "component")
+    placed = star.join(component, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    mixed = placed.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b")
+    placed = saved(placed.join(mixed, "b", "left_semi"))
+    parts = saved(differences(placed.select("a", "b"), sets, percent).join(placed.select(F.col("b").alias("hub"), F.col("a").alias("id"), "component"), ["hub", "id"]))
+    other = parts.select("hub", "x", *(F.col(c).alias(f"{c}2") for c in ("id", "place", "d", "n", "component")))
+    reach = f"{100 + percent} * 2 * (least(d - place, d2 - place2)) >= {100 + percent} * (d + d2) - {100 - percent} * (n + n2)"
+    cross = saved(
+        parts.join(other, ["hub", "x"])
+        .where(F.expr(f"id > id2 and component <> component2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {reach}"))
+        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        .distinct()
+    )
     if not cross.isEmpty():
         found = connected_components(links.unionByName(verified(cross, sets, percent)))
     of_key = heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component"))
