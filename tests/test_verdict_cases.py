@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.operators import dictionary, imaging, stats, tagging
-from veilwork.operators.merge import requested_labels
+from veilwork.operators.merge import accepted_labels, requested_labels
 from veilwork.operators.metadata import deidentify_metadata
 from veilwork.operators.rules import Rule, rule_findings
 from veilwork.plans.pages import deidentify_pages
@@ -43,7 +43,7 @@ def test_a_skipped_label_shields_no_other_finding(spark):
 
 
 def test_a_renamed_label_counts_under_both_names(spark):
-    assert set(requested_labels(["ID"])) == {"ID", "IDNUM"}
+    assert requested_labels(["ID"]) == ("IDNUM",) and accepted_labels(["ID"]) == ("ID", "IDNUM")
     extra = spark.createDataFrame([(0, 0, 0, 4, "A-77", "ID", "my_ner")], CHUNKS)
     assert deidentify_text(docs(spark, "A-77 seen"), "s", ["ID"], {"ID": "mask_label"}, extra_chunks=extra).first()["deidentified"] == "<ID> seen"
     assert find_entities(docs(spark, "badge AB12"), ["ID"], [Rule("ID", "[A-Z]{2}[0-9]{2}", prefix=("badge",), context_length=3)]).count() == 1

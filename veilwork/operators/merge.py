@@ -24,13 +24,19 @@ POSITION_BLOCK_BITS = 16
 
 
 def requested_labels(labels: Iterable[str] | None) -> tuple[str, ...]:
-    """The labels to find: defaults if none are named, empty refused; a renamed label counts under both names."""
+    """The labels to find: defaults if none are named, renames applied, empty refused."""
     if labels is None:
         labels = DEFAULT_LABELS
     labels = tuple(labels)
     if not labels:
         raise ValueError("the list of requested labels is empty")
-    return tuple(sorted({LABEL_RENAMES.get(x, x) for x in labels} | set(labels)))
+    return tuple(sorted({LABEL_RENAMES.get(x, x) for x in labels}))
+
+
+def accepted_labels(labels: Iterable[str] | None) -> tuple[str, ...]:
+    """The labels a finding may carry to be kept: a renamed label counts under both names."""
+    labels = DEFAULT_LABELS if labels is None else tuple(labels)
+    return tuple(sorted({*requested_labels(labels), *labels}))
 
 
 def renamed(entity: Column, detector: Column) -> Column:

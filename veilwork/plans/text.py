@@ -29,7 +29,7 @@ from veilwork.operators.dictionary import word_findings
 from veilwork.operators.merge import (
     SPAN_TYPE,
     rename_findings,
-    requested_labels,
+    accepted_labels,
     resolve_findings,
     whitelist_findings,
 )
@@ -72,7 +72,7 @@ def findings(
     ``extra`` is an array of findings made elsewhere (a dictionary join, a tagger)
     that already sits on the row.
     """
-    wanted = requested_labels(labels)
+    wanted = accepted_labels(labels)
     active = pruned_rules(rules, wanted)
     lists = {e: ws for e, ws in word_lists.items() if LABEL_RENAMES.get(e, e) in wanted}
     parts = [rule_findings(text, active)]
@@ -106,7 +106,7 @@ def _items(mapping: Mapping | None) -> tuple:
 
 def _resolved(text, labels, rules, word_lists, with_extra, precedence) -> Column:
     return _resolved_column(
-        SparkContext._gateway, text, requested_labels(labels), tuple(rules), _items(word_lists), with_extra,
+        SparkContext._gateway, text, accepted_labels(labels), tuple(rules), _items(word_lists), with_extra,
         tuple(precedence),
     )
 
@@ -169,7 +169,7 @@ def deidentify_text(
     """
     if not salt:
         raise ValueError("a salt is required")
-    labels = [x for x in requested_labels(labels) if (policy or {}).get(x) != "skip"]
+    labels = [x for x in accepted_labels(labels) if (policy or {}).get(x) != "skip"]
     if not labels:
         return docs.withColumns({"deidentified": F.col(text), "chunks": empty_array(CHUNK_TYPE), "residual": empty_array(SPAN_TYPE)})
     if extra_chunks is not None:
