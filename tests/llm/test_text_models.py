@@ -110,6 +110,25 @@ def test_quality_and_toxicity_on_rows_held_out(spark):
     assert {x["doc_id"] for x in out if x["predicted"] == 0} == {x["doc_id"] for x in kept.collect()}
 
 
+def test_toxic_wording_of_a_small_language_on_rows_held_out(spark):
+    """Two groups of texts with toxic wording of their own; ordinary texts of the small group hold its wording now and then."""
+    r, rows, truth = rng(), [], {}
+    for i in range(2400):
+        small, toxic = i % 12 == 0, r.random() < 0.25
+        w = [x.translate(str.maketrans("aeiou", "ouiae")) if small else x for x in made_text(r, 60).split()]
+        for _ in range(5 if toxic else int(small and r.random() < 0.15)):
+            w.insert(r.randrange(len(w)), "zzornwicht" if small else r.choice(["wretchling", "blockhead", "vermin"]))
+        rows.append((i, " ".join(w)))
+        truth[i] = (small, toxic)
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, (_, t) in truth.items()], "doc_id long, quality int, toxic int")
+    held = [(x["predicted"], *truth[x["doc_id"]]) for x in toxicity.classify(frame(spark, rows), labels).collect() if x["held_out"]]
+    for group in (True, False):
+        found = [p for p, small, toxic in held if small == group and toxic]
+        assert len(found) >= 10 and sum(found) >= 0.8 * len(found)
+    ordinary = [p for p, _, toxic in held if not toxic]
+    assert sum(ordinary) <= 0.02 * len(ordinary)
+
+
 def test_classifiers_without_labels(spark):
     docs, labels, _ = labelled(spark, rng(), 12)
     none = labels.limit(0)

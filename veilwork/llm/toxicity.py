@@ -2,15 +2,17 @@
 
 Both dictionaries are trained from labelled text.  The ordinary one is trained on ordinary windows; the toxic one is
 a short section of toxic passages followed by the ordinary one, so what both classes share compresses alike and only
-toxic wording makes a window shorter.  Toxic passages are stretches of toxic texts made of byte k-grams that stand in
-many toxic and hardly any ordinary documents, picked greedily until all such k-grams are covered.
+toxic wording makes a window shorter.  Toxic passages are stretches of toxic texts made of byte k-grams that toxic documents use
+significantly more, or more densely, than ordinary ones (likelihood ratio, no least or most share of documents), so wording of a
+small language or source enters, and so does wording that ordinary texts hold now and then.  They are picked until all such
+k-grams are covered, and grow by the bytes that most of their occurrences go on with.
 
 Before compression every byte is followed by a hash of itself and the two bytes before it.  A match then has to agree on five
 characters or more, so fragments of ordinary words cannot stand in for toxic ones, and a character costs two bytes as a literal:
 windows are so short that zstandard stores literals raw (below 64 bytes).
 
 A document's evidence is, per threshold t, how many of its windows save at least t bytes.  A calibrated logistic function of
-those counts and rates gives its score.
+those counts and rates and the length gives its score, which also tells stray from dense use.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ THRESHOLD = 0.7
 MAX_TRAINING_ROWS = 8_000
 WINDOW_BYTES = 31
 GRAM = 5
-#: A toxic k-gram stands in at least and at most these shares of the toxic and of the ordinary training texts.
-LEAST_SHARE, STRAY_SHARE = 0.04, 0.0006
+#: A k-gram is tested by how many texts of each class use it at least so often.
+DENSITIES = (1, 2, 3)
 CORE_SHARE = 0.6
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 3_072
-SAVINGS = (2, 3, 4, 5, 6, 8)
+#: A passage grows while this share of its occurrences goes on with the same byte, up to so many bytes.
+AGREEMENT, LONGEST = 0.6, 16
+ORDINARY_BYTES = 16_384
+SAVINGS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -52,12 +56,12 @@ class Model:
     weights: tuple[float, ...]
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        made = []
+        made, log = [], max(16, (2 * max(len(self.ordinary), len(self.toxic))).bit_length())  # all of a dictionary is in reach
         for content in (self.ordinary, self.toxic):
             dictionary = zstandard.ZstdCompressionDict(doubled(np.frombuffer(content, np.uint8), np.zeros(0, np.int64)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters(
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, compression_level=1, strategy=zstandard.STRATEGY_LAZY2, min_match=6, target_length=62,
-                window_log=16, chain_log=16, hash_log=16, search_log=5, write_content_size=False, write_checksum=False, write_dict_id=False,
+                window_log=log, chain_log=log, hash_log=log, search_log=5, write_content_size=False, write_checksum=False, write_dict_id=False,
             )
             dictionary.precompute_compress(compression_params=params)
             made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params))
@@ -124,8 +128,9 @@ def savings(model: Model) -> object:
 
 
 def evidence(counts: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Feature rows: log counts and rates by saving."""
-    return np.hstack([np.log1p(counts), counts / np.maximum(windows, 1)[:, None]])
+    """Feature rows: logs of counts and of counts per 100 windows by saving, and of the number of windows."""
+    n = np.maximum(windows, 1)[:, None]
+    return np.hstack([np.log1p(counts), np.log1p(100 * counts / n), np.log(n)])
 
 
 def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,16 +160,43 @@ def _grams(low: np.ndarray) -> np.ndarray:
 
 
 def document_counts(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending k-grams and in how many of the texts each stands."""
-    seen, counts = np.empty(0, np.uint64), np.empty(0)
+    """Ascending k-grams and, by density, how many of the texts hold each that often."""
+    seen, counts = np.empty(0, np.uint64), np.zeros((0, len(DENSITIES)))
     for k in range(0, len(rows), 500):
-        own = [np.unique(_grams(np.frombuffer(t, np.uint8))) for t in rows[k : k + 500]]
-        part, n = np.unique(np.concatenate(own), return_counts=True)
+        own = [np.unique(_grams(np.frombuffer(t, np.uint8)), return_counts=True) for t in rows[k : k + 500]]
+        part, times = np.concatenate([g for g, _ in own]), np.concatenate([n for _, n in own])
         seen, back = np.unique(np.r_[seen, part], return_inverse=True)
-        counts = np.bincount(back, np.r_[counts, n], len(seen))
+        dense = np.vstack([counts, times[:, None] >= np.array(DENSITIES)])
+        counts = np.stack([np.bincount(back, column, len(seen)) for column in dense.T], axis=1)
     return seen, counts
 
 
+def association(often: np.ndarray, stray: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
+    """Likelihood ratio of texts of both classes that hold something; 0 where its share of toxic texts is not the larger one."""
+
+    def part(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-12))
+
+    n = np.array([toxic, ordinary, toxic + ordinary], float)
+    both = often + stray
+    ratio = part(often) + part(stray) + part(n[0] - often) + part(n[1] - stray) - part(both) - part(n[2] - both) - part(n[:2]).sum() + part(n[2])
+    return np.where(often * ordinary > stray * toxic, 2 * ratio, 0.0)
+
+
+def _grown(passage: bytes, joined: bytes) -> bytes:
+    """A passage with the bytes that most of its occurrences in the joined texts go on with."""
+    at, where = joined.find(passage), []
+    while at >= 0:
+        where.append(at)
+        at = joined.find(passage, at + 1)
+    while len(passage) < LONGEST and where:
+        after, n = Counter(joined[p + len(passage)] for p in where).most_common(1)[0]
+        if n < AGREEMENT * len(where) or after == 0:  # a NUL stands between texts
+            break
+        passage += bytes([after])
+    return passage
+
+
 def _section(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary of about ``size`` bytes, or the samples themselves where there are too few to train on."""
     try:
@@ -175,37 +207,30 @@ def _section(samples: list[bytes], size: int) -> bytes:
 
 def train_dictionaries(rows: list[bytes], toxic: np.ndarray) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents from lower-cased training texts."""
-    n = [int((~toxic).sum()), int(toxic.sum())]
-    grams, often = document_counts([t for t, bad in zip(rows, toxic, strict=True) if bad])
-    common, stray = document_counts([t for t, bad in zip(rows, toxic, strict=True) if not bad])
+    bad = [b" " + t for t, mark in zip(rows, toxic, strict=True) if mark]  # so that a first word looks like any other
+    good = [t for t, mark in zip(rows, toxic, strict=True) if not mark]
+    grams, often = document_counts(bad)
+    common, stray = document_counts([b" " + t for t in good])
     at = np.searchsorted(common, grams)
     met = np.r_[common, np.uint64(0)][at] == grams
-    rare = np.where(met, np.r_[stray, 0][at], 0) <= STRAY_SHARE * n[0]
-    keep = rare & (often >= max(3, LEAST_SHARE * n[1]))
-    keys, lead = grams[keep], dict(zip(grams[keep].tolist(), often[keep].tolist(), strict=True))
+    stray = np.where(met[:, None], np.vstack([stray, np.zeros(len(DENSITIES))])[at], 0)
+    strength = association(often, stray, len(bad), len(good)).max(axis=1)
+    keep = strength >= 2 * np.log(max(len(grams), 2))  # by chance hardly one of all grams gets there
+    keys, lead = grams[keep], dict(zip(grams[keep].tolist(), strength[keep].tolist(), strict=True))
     words: Counter[bytes] = Counter()
-    windows: list[bytes] = []
-    for text, bad in zip(rows, toxic, strict=True):
-        low = np.frombuffer(text, np.uint8)
-        if not bad:
-            for a in range(0, len(text), WINDOW_BYTES * 3):
-                windows.append(text[a : a + WINDOW_BYTES])
-        elif len(keys):
-            own = _grams(low)
-            at = np.flatnonzero(np.isin(own, keys))
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
-                seen = np.array([lead[g] for g in own[run].tolist()])
-                core = run[np.flatnonzero(seen >= CORE_SHARE * seen.max())]  # without what happens to stand beside it
-                words[text[core[0] : core[-1] + GRAM]] += 1
-    ordinary = _section(windows, ORDINARY_BYTES)
-    passages, size, covered = [], 0, set()
-    for w, c in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        if c < max(3, 1.5 * LEAST_SHARE * n[1]):
-            break
+    for text in bad if len(keys) else []:
+        own = _grams(np.frombuffer(text, np.uint8))
+        at = np.flatnonzero(np.isin(own, keys))
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
+            seen = np.array([lead[g] for g in own[run].tolist()])
+            core = run[np.flatnonzero(seen >= CORE_SHARE * seen.max())]  # without what happens to stand beside it
+            words[text[core[0] : core[-1] + GRAM]] += 1
+    ordinary = _section([t[a : a + WINDOW_BYTES] for t in good for a in range(0, len(t), WINDOW_BYTES * 3)], ORDINARY_BYTES)
+    passages, covered, joined = [], set(), b"\0" + b"\0".join(bad) + b"\0"
+    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
         grams = set(_grams(np.frombuffer(w, np.uint8)).tolist())
-        if size + len(w) <= TOXIC_BYTES and not grams <= covered:
-            passages.append(w)
-            size += len(w)
+        if not grams <= covered:
+            passages.append(_grown(w, joined))
             covered |= grams
     return ordinary, b"".join(reversed(passages)) + ordinary
 
@@ -225,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         frame, key = frame.iloc[order], key[order]
         rows, y = [LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in frame["text"]], frame["label"].to_numpy() > 0
         half = (key & np.uint64(1)) == 0
-        x = np.zeros((len(rows), 2 * len(SAVINGS)))
+        x = np.zeros((len(rows), 2 * len(SAVINGS) + 1))
         for part in (half, ~half):  # evidence of each half with the dictionaries of the other
             if part.any():
                 other = Model(*train_dictionaries([r for r, p in zip(rows, part, strict=True) if not p], y[~part]), ())
@@ -236,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     # the sample is bounded, so one task may hold it
     made = sample.withColumn("part", F.lit(1)).groupBy("part").applyInPandas(learn, "ordinary binary, toxic binary, weights array<double>").collect()
     if not made:
-        return Model(b"", b"", (0.0,) * (2 * len(SAVINGS) + 1))
+        return Model(b"", b"", (0.0,) * (2 * len(SAVINGS) + 2))
     return Model(bytes(made[0]["ordinary"]), bytes(made[0]["toxic"]), tuple(made[0]["weights"]))
 
 
