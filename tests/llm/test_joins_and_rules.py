@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import urllib.parse
 
 import duckdb
 import numpy as np
 import pytest
 from helpers import awkward, brute_components, frame, made_text, near_copies, rng
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilwork.llm import common, decontamination, html_extraction, jaccard_join, pii_supervision, url_filters
@@ -235,6 +237,34 @@ def test_url_rules_and_aliases(spark, tmp_path):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_relative_urls_are_those_of_urljoin(spark):
+    bases = ["http://a.net/b/c/d.html?q=1", "https://A.net/b/c/", "http://a.net", "http://a.net:81/x"]
+    targets = ["page2.html", "?id=3", "../x", "../../../x", "./", "..", ".", "/p/./q/../r", "//c.net/z", "http://c.net/a?b", "g?u=http://e.net/", "x/y#z", "a..b/.c"]
+    rows = spark.createDataFrame([(b, t, urllib.parse.urljoin(b, t)) for b in bases for t in targets], "base string, target string, want string")
+    made = url_filters.absolute(F.col("target"), F.col("base"))
+    for x in rows.select("*", url_filters.alias_key(made).alias("key"), url_filters.alias_key(F.col("want")).alias("other")).collect():
+        assert x["key"] == x["other"], x
+    assert rows.limit(1).select(url_filters.absolute(F.lit("mailto:a@b.c"), F.col("base"))).first()[0] is None
+
+
+def test_every_canonical_and_refresh_of_a_page_is_an_edge(spark):
+    refresh = '<meta http-equiv="refresh" content="0; url=%s">'
+    pages = [
+        (1, "http://x.com/de/1", ""),
+        (2, "http://self.net/a", '<link rel="canonical" href="http://self.net/a">' + refresh % "http://x.com/de/1"),
+        (3, "http://two.net/a", '<link rel=canonical href="/a"><link rel=canonical href="/b">' + refresh % "/c" + refresh % "http://x.com/de/1"),
+        (4, "http://two.net/b", ""),
+        (5, "http://two.net/c", ""),
+        (6, "http://rel.net/d/e", refresh % "../f?id=3"),
+        (7, "http://rel.net/f?id=3", refresh % "?id=4"),
+        (8, "http://rel.net/f?id=4", '<base href="http://x.com/de/">' + refresh % "1"),
+        (9, "http://free.net/", '<link rel=canonical href="mailto:a@x.com/de/1"><a href="http://x.com/de/1">'),
+        (10, "http://x.com/de/1", None),
+    ]
+    out = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["verdict"] for x in out} == {i: "allow" if i == 9 else "block" for i, _, _ in pages}
+
+
 BASE = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x) <= 255 for x in m.split("."))),

@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence.
 
 Rules judge a url by its host and path.  Where no rule fits, the verdict comes from aliases: urls joined by canonical links or
-redirects (in the page's markup or given as a table), after dropping what does not change the page (scheme, ``www.`` and ``m.``,
+redirects (all of those in the page's markup, or given as a table), after dropping what does not change the page (scheme, ``www.`` and ``m.``,
 fragment, tracking parameters, a final slash or ``.html``).  Connected components over these edges carry decisions: an
 explicitly allowed alias makes its component allowed, else a blocked one makes it blocked.  Without either a url is allowed.
 """
@@ -52,20 +52,41 @@ def alias_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.lit("?"), kept))
 
 
-def markup_target(html: Column) -> Column:
-    """The url of a page's canonical link, else of its refresh; null without either."""
+def markup_targets(html: Column) -> Column:
+    """The urls of all canonical links and refreshes of a page, as written."""
     tag = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
-    found = F.coalesce(F.nullif(F.regexp_extract(html, tag, 1), F.lit("")), F.nullif(F.regexp_extract(html, refresh, 1), F.lit("")))
-    return F.when(F.rlike(html, F.lit("(?i)canonical|refresh")), F.replace(found, F.lit("&amp;"), F.lit("&")))
+    found = F.concat(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(refresh), F.lit(1)))
+    return F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
 
 
-def absolute(target: Column, url: Column) -> Column:
-    """Targets that start with ``/`` or ``//`` completed from the page's url; other relative ones give null."""
+def base_of(html: Column, url: Column) -> Column:
+    """What relative targets of a page start from: its first ``<base href>``, else its url."""
+    base = F.regexp_extract(html, r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    return F.when(base != "", absolute(F.replace(base, F.lit("&amp;"), F.lit("&")), url)).otherwise(url)
+
+
+def absolute(target: Column, base: Column) -> Column:
+    """A target completed from an absolute url, dot segments resolved; null for other schemes (``mailto:``)."""
+    own, rest = F.regexp_extract(target, r"(?s)\A[^?#]*", 0), F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1)
+    folder = F.regexp_extract(F.concat(path_of(base), F.when(path_of(base) == "", "/").otherwise("")), r"(?s)\A.*/", 0)
+    path = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    # a final . or .. names a folder; the first part is empty, as the path starts with /
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)\z", "$1/"), "/")
+    plain = F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step), "/")
+    place = F.concat(F.lit("http://"), host_of(base))
     return (
-        F.when(F.contains(target, F.lit("://")), target)
+        F.when(F.rlike(target, F.lit(r"\A[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when(F.rlike(target, F.lit(r"\A[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string"))
         .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(F.lit("http://"), host_of(url), target))
+        .when(F.startswith(target, F.lit("?")), F.concat(place, path_of(base), target))
+        .when(F.startswith(target, F.lit("#")), base)
+        .when(host_of(base) != "", F.concat(place, F.when(F.contains(path, F.lit("/.")), plain).otherwise(path), rest))
     )
 
 
@@ -79,7 +100,9 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tup
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     placed = pages.select("page_id", host.alias("host"), path.alias("path"), alias_key(F.col("url")).alias("alias"))
     placed = placed.withColumn("rule", rule).withColumn("own", verdict)
-    edges = pages.select(alias_key(F.col("url")).alias("a"), alias_key(absolute(markup_target(F.col("html")), F.col("url"))).alias("b"))
+    tagged = pages.where(F.rlike("html", F.lit("(?i)canonical|refresh")))
+    tagged = tagged.select("url", base_of(F.col("html"), F.col("url")).alias("base"), F.explode(markup_targets(F.col("html"))).alias("target"))
+    edges = tagged.select(alias_key(F.col("url")).alias("a"), alias_key(absolute(F.col("target"), F.col("base"))).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(alias_key(F.col("source")).alias("a"), alias_key(F.col("target")).alias("b")))
     groups = connected_components(edges.where("a is not null and b is not null")).withColumnRenamed("node", "alias")
