@@ -318,6 +318,25 @@ def test_added_spans_and_masks(spark):
     assert (got[1], got[2], got[3], got[4]) == ('token = "[SECRET]" thisisaverylongwordindeed', texts[2], None, "")
 
 
+def test_every_listed_prefix_long_keys_and_national_numbers_are_candidates(spark):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choices("abcdefghijkmnpqrstuvwxyz23456789", k=n - 2)) + "7q"
+    keys = [p + ("-12345678901-" if p.startswith("xox") else "-" if p == "glpat" else "") + some(30) for p in pii_supervision.KEY_PREFIXES]
+    keys += [some(200), "0a" * 200, some(20) + "+" + some(20) + "/" + some(9) + "==", f"eyJ{some(20)}.eyJ{some(30)}.{some(20)}-{some(12)}"]
+    numbers = ["212-555-1234", "01 23 45 67 89", "030 1234567", "(089) 123456", "0171/1234567", "020 7946 0958", "612 345 678", "91 123 45 67"]
+    texts = [f"the token = {k}." for k in keys] + [f"tel {n}, please" for n in numbers] + ["https://a.net/reset/" + "0a" * 20]
+    spans = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", pii_supervision.candidates(F.col("t")).alias("c")).collect()
+    for x in spans:
+        want = (keys + numbers + ["0a" * 20])[x["i"]]
+        kind = "tel" if want in numbers else "secret"
+        assert [(x["t"][c["start"] : c["end"]], c["kind"]) for c in x["c"]] == [(want, kind)]
+    long = [(0, "ab1." * 50_000), (1, "a/" * 100_000 + "@"), (2, "01 23 " * 30_000), (3, "0a" * 100_000)]
+    assert [x["n"] for x in spark.createDataFrame(long, "i int, t string").select("i", F.size(pii_supervision.candidates(F.col("t"))).alias("n")).orderBy("i").collect()][::3] == [1, 1]
+    docs = frame(spark, list(enumerate(texts * 20)))
+    out = pii_supervision.redacted(docs, pii_supervision.train(pii_supervision.pattern_counts(docs))).collect()
+    assert all(("[TEL]" if len(keys) <= x["doc_id"] % len(texts) < len(texts) - 1 else "[SECRET]") in x["text"] for x in out)
+
+
 def test_reliabilities_of_independent_labelers():
     r = random.Random(1)
     counts = {}

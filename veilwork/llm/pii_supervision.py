@@ -37,10 +37,16 @@ KINDS = ("email", "ip", "card", "phone", "mail", "tel", "ssn", "secret")
 BASE_KINDS, ADDED_KINDS = KINDS[:4], KINDS[4:]
 
 MAIL_FORM = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]{2,63})+"
-TEL_FORM = r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
+TEL_3_3_4 = r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
+#: Other national groupings: five pairs, an area code in 0, nine digits from 6 to 9.
+TEL_PAIRS, TEL_AREA = r"0[1-9](?:[\x20.-][0-9]{2}){4}", r"\(?0[1-9][0-9]{1,4}\)?(?:\x20?[/-]\x20?|\x20)[0-9]{3,8}(?:[\x20-][0-9]{2,8}){0,2}"
+TEL_NINE = r"[6-9][0-9]{2}(?:(?:[\x20.-][0-9]{3}){2}|(?:[\x20.-][0-9]{2}){3})|[89][0-9][\x20.-][0-9]{3}(?:[\x20.-][0-9]{2}){2}"
+TEL_FORM = rf"(?:{TEL_3_3_4}|{TEL_PAIRS}|{TEL_AREA}|{TEL_NINE})"
 SSN_FORM = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-SECRET_FORM = r"[A-Za-z0-9_]{16,128}"
-CANDIDATE = rf"(?<![A-Za-z0-9_.@+-])(?:{MAIL_FORM}|{TEL_FORM}|{SSN_FORM}|{SECRET_FORM})(?![A-Za-z0-9_@-])"
+#: A run of any length; the joined form also holds ``-``, ``.``, ``+`` and ``/`` inside and ends in the padding of base64.
+SECRET_FORM = r"[A-Za-z0-9_]{16,}+"
+JOINED_FORM = r"(?<!/)(?=[A-Za-z0-9_.+/-]{16})[A-Za-z0-9_]++(?:[-.+/]{1,2}[A-Za-z0-9_]++)*+(?:[+/]?={1,2}(?![A-Za-z0-9_\"'+/-]))?+(?!@)"
+CANDIDATE = rf"(?<![A-Za-z0-9_.@+-])(?:(?:{MAIL_FORM}|{TEL_FORM}|{SSN_FORM})(?![A-Za-z0-9_@-])|{JOINED_FORM}|{SECRET_FORM}(?![A-Za-z0-9_@-]))"
 CUES = {
     "mail": r"e-?mail|mail|contact|write|correo|courriel",
     "tel": r"tel|phone|call|mobile|fax|whatsapp|llam|appel|anruf",
@@ -104,7 +110,7 @@ def candidates(text: Column) -> Column:
 
     pieces = F.split(F.regexp_replace(text, CANDIDATE, f"{SEPARATOR}$0{SEPARATOR}"), SEPARATOR)
     raw = let(pieces, lambda ps: F.when(F.size(ps) > 1, collect(ps)).otherwise(empty_array("struct<start:int,end:int,match:string,left:string>")))
-    gate = F.rlike(text, F.lit(r"[0-9A-Za-z_]{16}|[0-9]{3}[\x20.)-]|[\[(](?:at|AT)[\])]"))
+    gate = F.rlike(text, F.lit(r"[0-9A-Za-z_.+/-]{16}|[0-9]{2}[\x20.)/-]|[\[(](?:at|AT)[\])]"))
     known = F.transform(raw, _with_kind)
     # a run of letters alone is a word, whatever its length
     real = F.filter(known, lambda c: (c["kind"] != "secret") | (F.rlike(c["match"], F.lit("[0-9]")) & F.rlike(c["match"], F.lit("[A-Za-z]"))))
@@ -124,13 +130,14 @@ def _vote(yes: Column, no: Column) -> Column:
 def _with_votes(c: Column) -> Column:
     kind, m, left = c["kind"], c["match"], c["left"]
     like = lambda pattern: F.rlike(m, F.lit(pattern))
+    american = like(rf"\A{TEL_3_3_4}\z")
     strict = (
         F.when(kind == "ssn", ~like(r"\A(?:000|666|9)|-00-|-0000\z"))
-        .when(kind == "tel", like(r"\A\(?[2-9][0-9]{2}\)?[\x20.-][2-9]"))
+        .when(kind == "tel", F.when(american, like(r"\A\(?[2-9][0-9]{2}\)?[\x20.-][2-9]")).otherwise(like(rf"\A(?:{TEL_PAIRS}|{TEL_AREA})\z")))
         .when(kind == "mail", like(r"(?i)[\[(]dot[\])]|\.[a-z]{2,}\z"))
-        .otherwise(like(r"\A(?:(?:AKIA|ASIA)[0-9A-Z]{16}|[0-9a-f]{18,64}|gh[po]_[A-Za-z0-9]{36}|xox[bp][A-Za-z0-9_]{20,})\z"))
+        .otherwise(like(r"\A(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|xox[bp][A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{20,})\z|(?:\A|[-.+/])[0-9a-f]{18,}(?:\z|[-.+/=])"))
     )
-    ruled_out = F.when(kind == "ssn", like(r"\A(?:000|666|9)")).when(kind == "tel", like(r"\A\(?[01]")).when(kind == "secret", like(r"\A[a-z]+[0-9]{1,4}\z|\A[0-9]{1,4}[a-z]+\z|__"))
+    ruled_out = F.when(kind == "ssn", like(r"\A(?:000|666|9)")).when(kind == "tel", american & like(r"\A\(?[01]")).when(kind == "secret", like(r"\A[a-z]+[0-9]{1,4}\z|\A[0-9]{1,4}[a-z]+\z|__|\A(?:(?:[A-Za-z]++|[0-9]{1,4}+)(?:[-.+/]++|\z))*+\z"))
     listed = F.when(kind == "secret", F.exists(F.array(*map(F.lit, KEY_PREFIXES)), lambda p: F.startswith(m, p))).when(
         kind == "mail", like(r"(?i)(?:%s)\z" % "|".join(DOMAINS))
     )
