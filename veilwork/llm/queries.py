@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilwork.llm import decontamination, hidden_markov, html_extraction, jaccard_join, pii_supervision, quality_classifier, quality_rules, sentencepiece_lattice, toxicity, url_filters
+from veilwork.llm import best_fit_packing, decontamination, hard_negatives, hidden_markov, html_extraction, jaccard_join, periodic_runs, pii_supervision, quality_classifier, quality_rules, sentencepiece_lattice, toxicity, url_filters
 from veilwork.llm.common import table
 
 
@@ -60,9 +61,26 @@ def op10_pii_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_supervision.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return best_fit_packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of them planted by its id."""
+    return periodic_runs.digests(periodic_runs.detect(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh carries the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), F.col("vec_id"), label, F.col("embedding"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality_classifier, op3_hidden_markov, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_pii_supervision)
+    for f in (op1_sentencepiece, op2_quality_classifier, op3_hidden_markov, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_pii_supervision, op11_best_fit_packing, op12_periodic_runs, op13_hard_negatives)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": url_filters.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": url_filters.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql()}
