@@ -3,21 +3,23 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_queries import normalised
 from veilwork.fixtures import TABLES
+from veilwork.plans import oracle
+from veilwork.plans.queries import QUERIES
 
-SQL = oracle_sql()
+SQL = oracle.build()
 ROWS_ONLY = {"binary_source", "trained_tagger", "streamed_intake"}
 
 
 def test_every_query_has_a_twin_or_is_listed():
-    assert set(queries()) == set(SQL) | ROWS_ONLY
+    assert set(QUERIES) == set(SQL) | ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
-    got = queries()[name](spark, sf_dir).toPandas()
+    got = QUERIES[name](spark, sf_dir).toPandas()
     if name in ROWS_ONLY:
         assert len(got) > 0
         return

@@ -31,9 +31,23 @@ STATE_CODES = (
     "WV", "WI", "WY",
 )
 
-# Before a postal code any single word of a state name counts, in two casings.
-_STATE_WORDS = tuple(sorted({w for name in STATE_NAMES for w in name.split()}))
-ZIP_WORDS = STATE_CODES + _STATE_WORDS + tuple(w.upper() for w in _STATE_WORDS)
+# --- fixed values: before a postal code any single word of a state name counts, in two casings
+ZIP_WORDS = STATE_CODES + (
+    "Alabama", "Maine", "Pennsylvania", "Alaska", "Maryland", "Rhode", "Island", "Arizona", "Massachusetts",
+    "South", "Carolina", "Arkansas", "Michigan", "Dakota", "California", "Minnesota", "Tennessee", "Colorado",
+    "Mississippi", "Texas", "Connecticut", "Missouri", "Utah", "Delaware", "Montana", "Vermont", "District",
+    "of", "Columbia", "Nebraska", "Virginia", "Florida", "Nevada", "Washington", "Georgia", "New", "Hampshire",
+    "West", "Hawaii", "Jersey", "Wisconsin", "Idaho", "Mexico", "Wyoming", "Illinois", "York", "American",
+    "Samoa", "Indiana", "North", "Guam", "Iowa", "Northern", "Mariana", "Islands", "Kansas", "Ohio", "Palau",
+    "Kentucky", "Oklahoma", "Puerto", "Rico", "Louisiana", "Oregon", "Virgin",
+    "ALABAMA", "MAINE", "PENNSYLVANIA", "ALASKA", "MARYLAND", "RHODE", "ISLAND", "ARIZONA", "MASSACHUSETTS",
+    "SOUTH", "CAROLINA", "ARKANSAS", "MICHIGAN", "DAKOTA", "CALIFORNIA", "MINNESOTA", "TENNESSEE", "COLORADO",
+    "MISSISSIPPI", "TEXAS", "CONNECTICUT", "MISSOURI", "UTAH", "DELAWARE", "MONTANA", "VERMONT", "DISTRICT",
+    "OF", "COLUMBIA", "NEBRASKA", "VIRGINIA", "FLORIDA", "NEVADA", "WASHINGTON", "GEORGIA", "NEW", "HAMPSHIRE",
+    "WEST", "HAWAII", "JERSEY", "WISCONSIN", "IDAHO", "MEXICO", "WYOMING", "ILLINOIS", "YORK", "AMERICAN",
+    "SAMOA", "INDIANA", "NORTH", "GUAM", "IOWA", "NORTHERN", "MARIANA", "ISLANDS", "KANSAS", "OHIO", "PALAU",
+    "KENTUCKY", "OKLAHOMA", "PUERTO", "RICO", "LOUISIANA", "OREGON", "VIRGIN",
+)
 
 # --- fixed values: context words of the rules
 SSN_WORDS = ("ssn", "social", "security", "ssns", "ss#", "ssn#", "ssid", "ss #", "ssn #")
@@ -41,19 +55,18 @@ ACCOUNT_WORDS = (
     "check", "account", "account#", "acct", "routing", "acct#", "save", "debit", "bank", "aba",
     "aba routing", "abarouting", "association", "bankrouting",
 )
-_LICENSE_STEMS = ("license", "licence", "lic", "certificate", "cert")
-LICENSE_WORDS = tuple(
-    form + mark
-    for stem in _LICENSE_STEMS
-    for form in (stem, stem.capitalize(), stem.upper())
-    for mark in ("", "#")
+LICENSE_WORDS = (
+    "license", "License", "LICENSE", "lic", "Lic", "LIC", "licence", "Licence", "LICENCE",
+    "lic#", "Lic#", "LIC#", "license#", "License#", "LICENSE#", "licence#", "Licence#", "LICENCE#",
+    "certificate", "Certificate", "CERTIFICATE", "cert", "Cert", "CERT",
+    "certificate#", "Certificate#", "CERTIFICATE#", "cert#", "Cert#", "CERT#",
 )
 VIN_WORDS = ("VIN",)
-_AGE_UNITS = ("year", "month", "week", "day")
 AGE_PHRASES = (
-    tuple(f"{dash}{unit}{plural}-old" for unit in _AGE_UNITS for plural in ("", "s") for dash in ("-", ""))
-    + ("month old", "days old", "year old", "years old", "week old", "weeks old")
-    + tuple(f"{unit}s of age" for unit in _AGE_UNITS)
+    "-years-old", "years-old", "-year-old", "year-old", "-months-old", "months-old", "-month-old", "month-old",
+    "-day-old", "day-old", "-days-old", "days-old", "-week-old", "week-old", "-weeks-old", "weeks-old",
+    "month old", "days old", "year old", "years old", "week old", "weeks old",
+    "years of age", "months of age", "weeks of age", "days of age",
 )
 PHONE_WORDS = ("call", "phone")
 IDNUM_WORDS = ("CVS/PHARMACY", "Wal-Mart Pharmacy")
@@ -74,18 +87,28 @@ PHONE_REGEX = (
 IDNUM_REGEX = r"(?<=#)[0-9]{4,5}"
 ZIP_REGEX = r"(^\d{5}$)|(^\d{5}-\d{4}$)"
 MEDICALRECORD_REGEX = r"^\d{5}$"
-_LOCAL = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
+_LOCAL_CLASS = r"a-z0-9!#$%&'*+/=?^_`{|}~-"
+_LOCAL = f"[{_LOCAL_CLASS}]+"
 _QUOTED = r'"(?:[^"\\\s]|\\[^\s])*"'
 _HOST = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _LITERAL = rf"\[(?:{_OCTET}\.){{3}}(?:{_OCTET}|[a-z0-9-]*[a-z0-9]:[^\[\]\s]+)\]"
 EMAIL_REGEX = rf"(?:{_LOCAL}(?:\.{_LOCAL})*|{_QUOTED})@(?:{_HOST}|{_LITERAL})"
 
+# The same tokens in linear time and bounded stack.  A token rule only asks whether a token holds a match, so one
+# character on either side of a digit is as good as many, two labels make a host, a local part is read from its first
+# character, and a quoted one from the last quote it can begin with.
+LICENSE_TEST = r"\S\d\S"
+_LABEL = r"[a-z0-9]++(?:-++[a-z0-9]++)*+"
+_BARE = rf"(?<![{_LOCAL_CLASS}])(?<![{_LOCAL_CLASS}]\.)[{_LOCAL_CLASS}]++(?:\.[{_LOCAL_CLASS}]++)*+"
+_LAST_QUOTED = r'"[^"\\\s]*+(?:\\[^"\s][^"\\\s]*+)*+"'
+EMAIL_TEST = rf"(?:{_BARE}|{_LAST_QUOTED})@(?:{_LABEL}\.[a-z0-9]|{_LITERAL})"
+
 CONTEXT_RULES = (
     Rule("SSN", SSN_REGEX, prefix=SSN_WORDS, context_length=20, signal=True, min_length=9),
     Rule("ACCOUNT", ACCOUNT_REGEX, prefix=ACCOUNT_WORDS, context_length=25, signal=True, min_length=7),
     Rule(
-        "LICENSE", LICENSE_REGEX, prefix=LICENSE_WORDS, suffix=LICENSE_WORDS, context_length=20,
+        "LICENSE", LICENSE_REGEX, test=LICENSE_TEST, prefix=LICENSE_WORDS, suffix=LICENSE_WORDS, context_length=20,
         case_sensitive=True, signal=True, min_length=3,
     ),
     Rule("VIN", VIN_REGEX, prefix=VIN_WORDS, context_length=5, signal=True, min_length=17, max_length=17),
@@ -109,7 +132,7 @@ CONTEXT_RULES = (
         min_length=5, max_length=5,
     ),
     Rule(
-        "EMAIL", EMAIL_REGEX, prefix=EMAIL_WORDS, suffix=EMAIL_WORDS, context_length=60, signal=True,
+        "EMAIL", EMAIL_REGEX, test=EMAIL_TEST, prefix=EMAIL_WORDS, suffix=EMAIL_WORDS, context_length=60, signal=True,
         literal="@",
     ),
 )
@@ -129,15 +152,18 @@ DATE_REGEX = (
 )
 PHONE_PATTERN_REGEX = r"(?:\+1 ?)?\([1-9][0-9]{2}\) ?[0-9]{3}-[0-9]{4}"
 EMAIL_PATTERN_REGEX = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 )
 FAX_REGEX = r"\+?[0-9(][0-9() -]{6,}[0-9]"
+# A match can only begin where a run of its characters does, so the runs are found and each is cut once.
+FAX_RUN = r"\+?+[0-9(][0-9() -]*+"
 STREET_REGEX = (
     r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}"
     r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Way)"
 )
 DOCTOR_REGEX = r"[A-Z][A-Za-z'-]+"
 DEVICE_REGEX = r"^[A-Z0-9-]{3,}[0-9][A-Z0-9-]*$"
+DEVICE_TEST = r"^[A-Z0-9-]{3}(?=[A-Z-]*+[0-9])[A-Z0-9-]++$"
 ID_REGEX = r"^[A-Za-z]{2,}[#-]?[0-9]{4,}$"
 
 
@@ -152,11 +178,11 @@ PATTERN_RULES = (
     _pattern("DATE", DATE_REGEX, signal=True),
     _pattern("PHONE", PHONE_PATTERN_REGEX, signal=True),
     _pattern("EMAIL", EMAIL_PATTERN_REGEX, signal=True),
-    _pattern("FAX", FAX_REGEX, signal=True, prefix=("fax", "Fax", "FAX"), context_length=10),
+    _pattern("FAX", FAX_RUN, cut=FAX_REGEX, signal=True, prefix=("fax", "Fax", "FAX"), context_length=10),
     _pattern("STREET", STREET_REGEX, signal=True),
     _pattern("DOCTOR", DOCTOR_REGEX, rule_scope="document", prefix=("Dr", "Doctor"), context_length=2),
     _pattern(
-        "DEVICE", DEVICE_REGEX, match_scope="token", signal=True, prefix=("serial", "device"), context_length=15
+        "DEVICE", DEVICE_REGEX, test=DEVICE_TEST, match_scope="token", signal=True, prefix=("serial", "device"), context_length=15
     ),
     _pattern("ID", ID_REGEX, match_scope="token", signal=True),
 )

@@ -31,6 +31,34 @@ DOCUMENT_SCOPE_SENT_ID = -1
 ALNUM = "A-Za-z0-9"
 
 
+MOST_TURNS = 1000  # of a group, before its stack counts as unbounded
+
+
+def has_unbounded_group(regex: str) -> bool:
+    """Whether a group is repeated without bound, other than possessively (those loop, the others recurse)."""
+    i, in_class = 0, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            i = (regex + "\\E").index("\\E", i) if regex[i : i + 2] == "\\Q" else i
+            i += 2
+            continue
+        if c == "[":
+            in_class += 1
+            i += 2 if regex[i + 1 : i + 2] == "]" else 3 if regex[i + 1 : i + 3] == "^]" else 1
+            continue
+        if in_class:
+            in_class -= c == "]"
+        elif c == ")":
+            turns = re.match(r"([*+]|\{(\d+)(,)?(\d*)\})(\+?)", regex[i + 1 :])
+            if turns and not turns[5]:
+                most = None if turns[1] in "*+" or turns[3] and not turns[4] else int(turns[4] or turns[2])
+                if most is None or most > MOST_TURNS:
+                    return True
+        i += 1
+    return False
+
+
 @dataclass(frozen=True)
 class Rule:
     """One contextual rule (or context-free pattern, when it lists no words).
@@ -38,6 +66,11 @@ class Rule:
     ``literal``, ``min_length`` and ``max_length`` (0 for none) promise something about
     every token the regex accepts and only save time.  ``keep`` is a second regex a sub-token match must satisfy.  ``signal`` promises
     that every match holds a digit or an ``@``; such rules skip all other words.
+
+    ``test`` accepts the same tokens as the regex of a token rule and is used in its place; ``cut`` is the part at the start
+    of a sub-token match that is reported (a match without it is none).  Both let a regex run in linear time on any text.
+    A group repeated without bound and not possessively needs stack for each turn, so one long token could end a
+    worker's JVM: such a regex is refused unless a token rule brings a ``test`` without one.
     """
 
     entity: str
@@ -55,8 +88,18 @@ class Rule:
     min_length: int = 0
     max_length: int = 0
     detector: str = ""
+    test: str | None = None
+    cut: str | None = None
 
     def __post_init__(self) -> None:
+        if self.test and self.match_scope != "token" or self.cut and self.match_scope != "sub-token":
+            raise ValueError(f"rule {self.entity}: a test belongs to the token scope, a cut to the sub-token scope")
+        for regex in (self.test or self.regex, self.cut, self.keep):
+            if regex and has_unbounded_group(regex):
+                raise ValueError(
+                    f"rule {self.entity}: a group repeated without bound may exhaust the stack on a long token; "
+                    f"make it possessive (*+, ++), bound it, or give a test: {regex}"
+                )
         if self.rule_scope not in ("sentence", "document"):
             raise ValueError(f"unknown rule scope {self.rule_scope!r}")
         if self.match_scope not in ("token", "sub-token"):
@@ -149,11 +192,20 @@ def _context_holds(rule: Rule, m: Column, window: Window, size: Column) -> Colum
 
 def _sub_token_matches(rule: Rule, text: Column) -> Column:
     found = find_matches(text, _flags(rule) + rule.regex)
+    if rule.cut:
+        found = F.filter(F.transform(found, lambda m: _cut(rule, m)), lambda m: m["begin"] < m["end"])
     if rule.keep:
         found = F.filter(found, lambda m: m["match"].rlike(rule.keep))
     return found
 
 
+def _cut(rule: Rule, m: Column) -> Column:
+    return let(
+        F.regexp_extract(m["match"], f"{_flags(rule)}^(?:{rule.cut})", 0),
+        lambda part: F.struct(m["begin"].alias("begin"), (m["begin"] + F.length(part)).alias("end"), part.alias("match")),
+    )
+
+
 _CLASS = re.compile(r"\[(\^?)((?:\\.|[^\]\\])*)\]")
 
 
@@ -222,7 +274,7 @@ def _token_hits(rule: Rule, m: Column) -> Column:
         tests.append(length >= rule.min_length)
     if rule.literal:
         tests.append(F.contains(m["match"], F.lit(rule.literal)))
-    tests.append(m["match"].rlike(_flags(rule) + rule.regex))
+    tests.append(m["match"].rlike(_flags(rule) + (rule.test or rule.regex)))
     return reduce(lambda a, b: a & b, tests)
 
 

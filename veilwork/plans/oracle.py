@@ -169,7 +169,7 @@ def rule_parts(rules, source: str) -> tuple[list[str], list[str]]:
                 f"WHERE regexp_matches({tok}, {lit(r.regex)}) AND {ctx}"
             )
             continue
-        shape, lead, keep = SHAPES.get(r.detector, (r.regex, "", "true"))
+        shape, lead, keep = SHAPES.get(r.detector, (r.cut or r.regex, "", "true"))
         if r.rule_scope == "document":
             ctes.append(matches(f"m{i}", f"(SELECT doc_id, {clean()} AS t FROM {source})", "t", shape, lead))
             ctx = context(r, "substr(t, 1, mb)", "substr(t, me + 1)")
