@@ -122,6 +122,20 @@ def test_packing_query(spark, sf_dir):
     check_packing(rows, None, QUERIES["op11_best_fit_packing"](spark, sf_dir).collect(), 2048)
 
 
+def test_units_encode_like_texts():
+    """Texts of awkward characters, cut into units, give the ids of the whole text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, r = Tokenizer.from_file(path), random.Random(12)
+    parts = [*"abzAZ09.,'-<|>=#\"", " ", "\n", "'s", "'LL", "'Re", "n't", "é", "É", "\u0301", "\u0338", "—", "’", "’s", "٣", "½", "Ω", "Σ", "İ", "ß", "ǅ", "中", "😀", "\u200d", "\u00a0", "\u3000", "\x1c", "\x85", "\x00", "\x7f", "<|endoftext|>", "<|", "don't", "12", "ab", "...'s"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(4_000)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    ids, totals = best_fit_packing._token_ids(best_fit_packing._Vocabulary(path), data, offsets)
+    ends = np.cumsum(totals)
+    for text, end, n in zip(texts, ends, totals, strict=True):
+        assert ids[end - n : end].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+
+
 def test_packing_of_no_rows(spark):
     assert best_fit_packing.pack(frame(spark, [])).collect() == []
 

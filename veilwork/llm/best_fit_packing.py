@@ -12,6 +12,7 @@ where n is its number within its task plus the pieces of that length in earlier
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +27,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilwork.llm.common import SPACES, chunks, ragged, saved, texts, word_bounds
+from veilwork.llm.common import LOWER, SPACES, chunks, ragged, saved, texts, word_bounds
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-TOKENIZE_BYTES = 4 << 20
-JOINED = 256  # words encoded at once
+TOKENIZE_BYTES = 2 << 20
+JOINED, ENCODED_AT_ONCE = 256, 1 << 13  # units in one string, and in one call
+MAX_UNITS = 3 << 18
+
+_LETTER, _DIGIT, _OTHER = 1, 2, 3  # 0: white space and what is not ASCII
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = _OTHER
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[0x41:0x5B] = _KINDS[0x61:0x7B] = _LETTER
 
 PIECES = "doc_id long, piece int, start long, length int, ids array<int>, ids_crc32 long, part int, nth long"
 
@@ -155,62 +163,104 @@ def places(found: list[tuple[int, list[tuple[int, int]]]]) -> Places:
     return Places(*np.array(sorted(rows), np.int64).reshape(-1, 6).T.copy())
 
 
-class _Words:
-    """Token ids of words: white space always parts tokens, so words are encoded alone, equal ones once a chunk."""
+class _Vocabulary:
+    """Token ids of units, each encoded once: a worker keeps up to ``MAX_UNITS`` of them, then starts anew."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        # an added token is cut out before anything else, so it can part words that are encoded together
-        self.divider, self.mark = next(((i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), (None, None))
+        # an added token is cut out before anything else, so it can part units that are encoded together
+        self.divider, self.mark = next((i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.marks = [t.content for t in added.values()]
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each word."""
-        plain = [not any(m in w for m in self.marks) for w in words] if self.mark else [False] * len(words)
-        together = [w for w, p in zip(words, plain, strict=True) if p]
-        alone = [w for w, p in zip(words, plain, strict=True) if not p]
-        joined = [self.mark.join([*together[i : i + JOINED], ""]) for i in range(0, len(together), JOINED)]
-        flat = [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate([*flat, np.empty(0, np.int64)])
-        cuts = np.flatnonzero(ids == self.divider) if joined else np.empty(0, np.int64)
-        lengths = np.empty(len(words), np.int64)
-        lengths[np.array(plain, bool)] = np.diff(np.r_[-1, cuts]) - 1
-        ids = np.delete(ids, cuts)
-        if not alone:
-            return ids, lengths
-        own = [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-        lengths[~np.array(plain, bool)] = [len(x) for x in own]
-        out = np.empty(lengths.sum(), np.int64)
-        of = np.repeat(np.array(plain, bool), lengths)
-        out[of], out[~of] = ids, np.concatenate(own)
-        return out, lengths
-
-
-def _token_ids(words: _Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _encoded(self, units: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        plain = [u for u in units if not any(m in u for m in self.marks)]
+        joined = [self.mark.join([*plain[i : i + JOINED], ""]) for i in range(0, len(plain), JOINED)]
+        encoded = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([*encoded, np.empty(0, np.int32)])
+        cuts = np.flatnonzero(ids == self.divider)
+        lengths = iter(np.diff(np.r_[-1, cuts]) - 1)
+        parts = iter(np.split(np.delete(ids, cuts), np.cumsum(np.diff(np.r_[-1, cuts]) - 1)))
+        if len(plain) == len(units):
+            return [np.delete(ids, cuts)], list(lengths)
+        out = [np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.int32) if any(m in u for m in self.marks) else next(parts) for u in units]
+        return out, [len(x) for x in out]
+
+    def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each unit begin in ``ids``, and how many they are."""
+        if len(self.known) > MAX_UNITS:
+            self._clear()
+        new = [u for u in units if u not in self.known]
+        for at in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[at : at + ENCODED_AT_ONCE]
+            parts, lengths = self._encoded(some)
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            self.first = np.r_[self.first, len(self.ids) + np.cumsum(lengths) - lengths]
+            self.count = np.r_[self.count, lengths]
+            self.ids = np.concatenate([self.ids, *parts])
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        return self.first[at], self.count[at]
+
+
+@functools.lru_cache(maxsize=1)
+def _vocabulary(path: str) -> _Vocabulary:
+    return _Vocabulary(path)
+
+
+def unit_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the units of a chunk: words, cut where the tokenizer always cuts.
+
+    It parts letters, single digits and runs of other characters.  Two neighbouring ASCII characters of different kinds, or
+    two digits, are therefore always parted, but for an apostrophe and what follows, which may be a contraction.  Words
+    that may hold an added token, and cuts next to other than ASCII characters, are left to the tokenizer.
+    """
+    starts, ends, rows = word_bounds(data, offsets)
+    if not len(starts):
+        return starts, ends, rows
+    kind = _KINDS[data]
+    left, right = kind[:-1], kind[1:]
+    cut = (left > 0) & (right > 0) & ((left != right) | (left == _DIGIT)) & (data[:-1] != ord("'"))
+    at = np.flatnonzero(cut) + 1
+    word = np.searchsorted(starts, at, "right") - 1
+    inside = (word >= 0) & (at > starts[word]) & (at < ends[word])
+    marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    inside &= ~np.isin(word, np.searchsorted(starts, marked, "right") - 1)
+    at, word = at[inside], word[inside]
+    every = np.sort(np.r_[starts, at])
+    closes = np.sort(np.r_[ends, at])
+    return every, closes, rows[np.searchsorted(starts, every, "right") - 1]
+
+
+def _token_ids(vocabulary: _Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows of a chunk, each row closed by ``END``, and the number of ids of each row."""
     n = len(offsets) - 1
-    starts, ends, rows = word_bounds(data, offsets)
+    starts, ends, rows = unit_bounds(data, offsets)
     at = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=at[1:])
-    packed = pa.py_buffer(np.ascontiguousarray(data[~SPACES[data]]))
+    packed = pa.py_buffer(np.ascontiguousarray(LOWER[data[~SPACES[data]]]))
     named = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), packed).dictionary_encode()
-    ids, lengths = words.encode(named.dictionary.to_pylist())
-    # the closing id is one more word, the last of its row
-    ids, lengths = np.r_[ids, END], np.r_[lengths, 1]
-    order = np.argsort(np.r_[rows, np.arange(n)], kind="stable")
-    of = np.r_[named.indices.to_numpy().astype(np.int64), np.full(n, len(lengths) - 1)][order]
-    row = np.r_[rows, np.arange(n)][order]
-    firsts = np.cumsum(lengths) - lengths
-    return ids[ragged(firsts[of], lengths[of])].astype(np.int32), np.bincount(row, lengths[of], n).astype(np.int64)
+    first, count = vocabulary.find(named.dictionary.to_pylist())
+    of = named.indices.to_numpy()
+    lengths = count[of]
+    totals = np.bincount(rows, lengths, n).astype(np.int64) + 1
+    out = np.full(totals.sum(), END, np.int32)
+    filled = np.ones(len(out), bool)
+    filled[np.cumsum(totals) - 1] = False  # the closing id
+    out[filled] = vocabulary.ids[ragged(first[of], lengths)]
+    return out, totals
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    words, seen, part = _Words(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+    vocabulary, seen, part = _vocabulary(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
     for batch in batches:
         doc_ids, column = batch.column("doc_id"), batch.column("text")
         for first, _, data, offsets in chunks(column, TOKENIZE_BYTES):
-            ids, totals = _token_ids(words, data, offsets)
+            ids, totals = _token_ids(vocabulary, data, offsets)
             pieces = -(-totals // capacity)
             row = np.repeat(np.arange(len(totals)), pieces)
             piece = ragged(np.zeros(len(totals), np.int64), pieces)
