@@ -1,4 +1,6 @@
+import bisect
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,46 @@ def test_requested_labels():
     assert requested_labels(["ID", "BIOID", "SPIRITUAL_BELIEFS"]) == ("IDNUM", "RELIGION")
     with pytest.raises(ValueError):
         requested_labels([])
+
+
+def fast_greedy(chunks):
+    """The same choice with a sorted list of taken spans: two neighbours decide."""
+    order = sorted(chunks, key=lambda c: (RANK.get((c[6], c[5]), len(RANK) + 1), c[2] - c[3], c[2], c[5], c[6], c[3]))
+    begins, taken = [], {}
+    for c in order:
+        at = bisect.bisect_left(begins, c[3])
+        if at == 0 or taken[begins[at - 1]][3] <= c[2]:
+            bisect.insort(begins, c[2])
+            taken[c[2]] = c
+    return sorted((c[2], c[3], c[5]) for c in taken.values())
+
+
+@pytest.mark.parametrize("shape", ["chain", "growing", "nested", "wide", "random"])
+def test_long_islands(spark, shape):
+    rng = random.Random(shape)
+    make = {
+        "chain": lambda i: (i * 10, i * 10 + 11 + i % 5),
+        "growing": lambda i: (i * 10, i * 10 + 11 + i // 20),
+        "nested": lambda i: (i, 20_000 - i),
+        "wide": lambda i: (i * 3, i * 3 + rng.randrange(1, 3_000)),
+        "random": lambda i: (rng.randrange(9_000), 0),
+    }[shape]
+    chunks = []
+    for i in range(3_000):
+        begin, end = make(i)
+        chunks.append(chunk(1, begin, max(end, begin + 1 + rng.randrange(40)), rng.choice(["URL", "SSN", "DATE"])))
+    chunks += [chunk(2, 0, 9), chunk(2, 3, 5)]
+    got = collect(on_rows(spark, chunks))
+    for doc in (1, 2):
+        assert got[doc] == brute_force([c for c in chunks if c[0] == doc])
+        assert got[doc][0] == fast_greedy([c for c in chunks if c[0] == doc])
+
+
+@pytest.mark.parametrize("on_row", [True, False])
+def test_a_hundred_thousand_findings_in_one_island(spark, on_row):
+    chunks = [chunk(1, i * 10, i * 10 + 11 + i * 7919 % 50) for i in range(100_000)]
+    frame = spark.createDataFrame(chunks, SCHEMA)
+    start = time.monotonic()
+    got = collect(on_rows(spark, chunks)) if on_row else collect(resolve_chunks(frame.repartition(4)))
+    assert time.monotonic() - start < 60
+    assert got[1][0] == fast_greedy(chunks)

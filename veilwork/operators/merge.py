@@ -2,8 +2,10 @@
 
 Overlaps are resolved greedily in the order (precedence rank, length, begin, label,
 detector).  Only findings that overlap, directly or through others, can influence each
-other, so each run of overlapping findings ("island") is folded alone: the
-quadratic part never sees more than one island.
+other, so each run of overlapping findings ("island") is folded alone.  In a short island a
+finding is compared with all taken ones.  A long island is folded in batches: taken
+findings are kept as one sorted array of disjoint spans, in which a binary search finds the
+only one that can overlap a finding, and what a batch takes is merged into it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ SPAN_TYPE = "struct<begin:int,end:int>"
 RESOLVED_TYPE = f"struct<kept:array<{CHUNK_TYPE}>,residual:array<{SPAN_TYPE}>>"
 TAGGER_KINDS = ("pattern_", "words_", "dictionary", "tagger")
 POSITION_BLOCK_BITS = 16
+SHORT_ISLAND, ISLAND_BATCH = 48, 512  # findings
 
 
 def requested_labels(labels: Iterable[str] | None) -> tuple[str, ...]:
@@ -82,9 +85,8 @@ def _as_chunk(f: Column) -> Column:
     return F.struct(*[f[x].alias(x) for x in CHUNK_FIELDS])
 
 
-def _fold_island(island: Column) -> Column:
-    """Greedy choice inside one run of overlapping findings, plus what it leaves bare."""
-    by_merit = F.array_sort(
+def _by_merit(island: Column) -> Column:
+    return F.array_sort(
         F.transform(
             island,
             lambda f: F.struct(
@@ -99,8 +101,12 @@ def _fold_island(island: Column) -> Column:
             ),
         )
     )
-    greedy = let(
-        by_merit,
+
+
+def _greedy_by_all(island: Column) -> Column:
+    """Findings taken from a short island, each compared with all taken before."""
+    return let(
+        _by_merit(island),
         lambda fs: F.aggregate(
             fs,
             F.slice(fs, F.lit(1), F.lit(0)),
@@ -109,11 +115,105 @@ def _fold_island(island: Column) -> Column:
             ),
         ),
     )
-    in_order = F.array_sort(
-        F.transform(
-            greedy,
-            lambda f: F.struct(f["begin"].alias("begin"), *[f[x].alias(x) for x in CHUNK_FIELDS if x != "begin"]),
+
+
+def _span(f: Column) -> Column:
+    """Begin and end in one number, which sorts by begin."""
+    return F.shiftleft(f["begin"].cast("bigint"), 32) + f["end"]
+
+
+def _span_begin(span: Column) -> Column:
+    return F.shiftright(span, 32)
+
+
+def _span_end(span: Column) -> Column:
+    return span.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _is_free(taken: Column, steps: Column, span: Column) -> Column:
+    """Whether a span overlaps none of the sorted disjoint spans ``taken``.
+
+    Of those that begin before its end the last one reaches furthest, so it alone is compared.  ``steps`` are falling powers
+    of two up to the number of taken spans.
+    """
+    before = F.shiftleft(_span_end(span), 32)
+    found = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda n, step: F.when(F.coalesce(F.get(taken, n + step - 1) < before, F.lit(False)), n + step).otherwise(n),
+    )
+    return F.coalesce(_span_end(F.get(taken, found - 1)) <= _span_begin(span), F.lit(True))
+
+
+def _greedy_by_batches(island: Column) -> Column:
+    """The same findings taken from a long island."""
+    no_spans, no_places = empty_array("bigint"), empty_array("int")
+
+    def nothing() -> Column:
+        return F.struct(no_spans.alias("spans"), no_places.alias("places"))
+
+    def fold(fs: Column) -> Column:
+        def take(state: Column, spans: Column, places: Column) -> Column:
+            """The places of one batch that are free, then those of them that do not overlap a better one of the batch."""
+            steps = F.filter(
+                F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda x: x <= F.size(state["spans"])
+            )
+            free = let(steps, lambda ss: F.filter(places, lambda i: _is_free(state["spans"], ss, spans[i])))
+            own = F.aggregate(
+                free,
+                nothing(),
+                lambda got, i: F.when(
+                    F.exists(
+                        got["spans"],
+                        lambda t: (_span_begin(t) < _span_end(spans[i])) & (_span_begin(spans[i]) < _span_end(t)),
+                    ),
+                    got,
+                ).otherwise(
+                    F.struct(
+                        F.array_append(got["spans"], spans[i]).alias("spans"),
+                        F.array_append(got["places"], i).alias("places"),
+                    )
+                ),
+            )
+            return let(
+                own,
+                lambda got: F.struct(
+                    F.sort_array(F.concat(state["spans"], got["spans"])).alias("spans"),
+                    F.concat(state["places"], got["places"]).alias("places"),
+                ),
+            )
+
+        def over(spans: Column) -> Column:
+            batches = F.sequence(F.lit(0), F.floor((F.size(fs) - 1) / ISLAND_BATCH).cast("int"))
+            last = F.size(fs) - 1
+            return F.aggregate(
+                batches,
+                nothing(),
+                lambda state, b: take(
+                    state, spans, F.sequence(b * ISLAND_BATCH, F.least(b * ISLAND_BATCH + (ISLAND_BATCH - 1), last))
+                ),
+            )
+
+        return let(
+            let(F.transform(fs, _span), over), lambda done: F.transform(done["places"], lambda i: F.get(fs, i))
         )
+
+    return let(_by_merit(island), fold)
+
+
+def _fold_island(island: Column) -> Column:
+    """Greedy choice inside one run of overlapping findings, plus what it leaves bare."""
+
+    def by_position(greedy: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                greedy,
+                lambda f: F.struct(f["begin"].alias("begin"), *[f[x].alias(x) for x in CHUNK_FIELDS if x != "begin"]),
+            )
+        )
+
+    in_order = F.when(F.size(island) <= SHORT_ISLAND, by_position(_greedy_by_all(island))).otherwise(
+        by_position(_greedy_by_batches(island))
     )
 
     def close(taken: Column) -> Column:
