@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from veilwork.functions.text import (
 from veilwork.operators.rules import CHUNK_TYPE
 
 MAX_INLINE_PHRASES = 2000
+BITS_PER_PHRASE, HASHES, LEAST_BITS, MOST_BITS = 16, 3, 10, 26
 
 
 def plain_phrase(phrase: str) -> str:
@@ -99,6 +101,47 @@ def word_findings(text: Column, lists: Mapping[str, Sequence[str]]) -> Column:
     return let(clean_text(text), on_clean)
 
 
+def membership_bits(phrases: DataFrame, n: int, phrase: str = "phrase") -> tuple[Column, int]:
+    """A Bloom bitmap of a column of ``n`` rows as a scalar subquery (array of 64-bit words), and its number of bits.
+
+    The size is a power of two of about ``BITS_PER_PHRASE`` bits for each phrase, at most 2^``MOST_BITS`` (8 MB); a larger
+    dictionary only lets more n-grams through.  Words are made by partial aggregation; one row holds them all.
+    """
+    bits = 1 << min(max((n * BITS_PER_PHRASE - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    at = phrases.select(F.explode(F.array(*_bit_places(F.col(phrase), bits))).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(63).cast("int"))).alias("word")
+    )
+    every = phrases.sparkSession.range(bits // 64).join(words, "id", "left").fillna(0, ["word"])
+    packed = every.agg(F.sort_array(F.collect_list(F.struct("id", "word"))).alias("words"))
+    return packed.select("words.word").scalar(), bits
+
+
+def _bit_places(phrase: Column, bits: int) -> list[Column]:
+    return [F.xxhash64(phrase, F.lit(i)).bitwiseAND(F.lit(bits - 1).cast("bigint")) for i in range(HASHES)]
+
+
+def _may_hold(words: Column, phrase: Column, bits: int) -> Column:
+    """False only for phrases the bitmap was not made of."""
+    tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in _bit_places(phrase, bits)]
+    return reduce(lambda a, b: a & b, tests)
+
+
+def candidate_grams(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """N-grams of ``docs`` (doc_id, text) that ``phrases`` (see ``phrase_table``) may hold, with their spans.
+
+    The bitmap is tested on each n-gram where it is made, in generated code and before any shuffle; of other n-grams about
+    one in two hundred passes.
+    """
+    sizes = phrases.agg(F.max("n").alias("n"), F.max("crosses").alias("crosses"), F.count(F.lit(1)).alias("rows")).first()
+    longest = sizes["n"] or 1
+    text = clean_text(F.col("text"))
+    found = _grams_across_sentences(text, longest) if sizes["crosses"] else _grams_with_text(text, longest)
+    words, bits = membership_bits(phrases, sizes["rows"])
+    grams = docs.select("doc_id", F.inline_outer(found))
+    return grams.filter(F.col("phrase").isNotNull() & _may_hold(words, F.col("phrase"), bits))
+
+
 def dictionary_chunks(
     docs: DataFrame, dictionary: DataFrame, detector: str = "dictionary"
 ) -> DataFrame:
@@ -107,21 +150,16 @@ def dictionary_chunks(
     Phrases are cut by the tokeniser of the texts, and the longest of them (one aggregate over the dictionary) sets how
     long n-grams get, so none is missed.  Phrases with a sentence end inside match across that end.
 
-    N-grams are joined to the dictionary on the phrase.  Spark broadcasts the
-    dictionary only while its estimated or measured size is below the session's
-    broadcast threshold and shuffles both sides otherwise; a frequent phrase then is
+    Only n-grams that pass a Bloom bitmap of the dictionary are joined to it on the phrase, so what is shuffled is hardly
+    more than the findings; the join makes the result exact.  Spark broadcasts the dictionary only while its estimated or
+    measured size is below the session's broadcast threshold and shuffles both sides otherwise; a frequent phrase then is
     a large key on the n-gram side only, which the adaptive skew join splits.
     """
     phrases = phrase_table(dictionary)
-    sizes = phrases.agg(F.max("n").alias("n"), F.max("crosses").alias("crosses")).first()
-    longest = sizes["n"] or 1
-    text = clean_text(F.col("text"))
-    found = _grams_across_sentences(text, longest) if sizes["crosses"] else _grams_with_text(text, longest)
-    grams = docs.select("doc_id", F.inline_outer(found)).filter(F.col("phrase").isNotNull())
-    if sizes["crosses"]:
-        grams = grams.withColumn("crosses", F.rlike("chunk", F.lit(SENTENCE_END)))
-    keys = ["phrase", "crosses"] if sizes["crosses"] else ["phrase"]
-    return grams.join(phrases.select("entity", *keys), keys).select(
+    grams = candidate_grams(docs, phrases)
+    grams = grams.withColumn("crosses", F.rlike("chunk", F.lit(SENTENCE_END)))
+    # a phrase without a sentence end inside stays within a sentence, and so does its n-gram
+    return grams.join(phrases.select("entity", "phrase", "crosses"), ["phrase", "crosses"]).select(
         "doc_id", "sent_id", "begin", "end", "chunk", "entity", F.lit(detector).alias("detector")
     )
 

@@ -103,102 +103,58 @@ def _by_merit(island: Column) -> Column:
     )
 
 
-def _greedy_by_all(island: Column) -> Column:
+def _greedy_by_all(fs: Column) -> Column:
     """Findings taken from a short island, each compared with all taken before."""
-    return let(
-        _by_merit(island),
-        lambda fs: F.aggregate(
-            fs,
-            F.slice(fs, F.lit(1), F.lit(0)),
-            lambda taken, f: F.when(F.exists(taken, lambda t: _overlap(t, f)), taken).otherwise(
-                F.array_append(taken, f)
-            ),
-        ),
+    return F.aggregate(
+        fs,
+        F.slice(fs, F.lit(1), F.lit(0)),
+        lambda taken, f: F.when(F.exists(taken, lambda t: _overlap(t, f)), taken).otherwise(F.array_append(taken, f)),
     )
 
 
-def _span(f: Column) -> Column:
-    """Begin and end in one number, which sorts by begin."""
-    return F.shiftleft(f["begin"].cast("bigint"), 32) + f["end"]
-
-
-def _span_begin(span: Column) -> Column:
-    return F.shiftright(span, 32)
+def _is_free(fs: Column, taken: Column, f: Column) -> Column:
+    """Whether a finding overlaps none of the taken ones, given as sorted numbers ``begin << 32 | place in fs``.
 
-
-def _span_end(span: Column) -> Column:
-    return span.bitwiseAND(F.lit((1 << 32) - 1))
-
-
-def _is_free(taken: Column, steps: Column, span: Column) -> Column:
-    """Whether a span overlaps none of the sorted disjoint spans ``taken``.
-
-    Of those that begin before its end the last one reaches furthest, so it alone is compared.  ``steps`` are falling powers
-    of two up to the number of taken spans.
+    Taken findings are disjoint.  Of those that begin before the end of ``f`` the last one reaches furthest, so it alone is
+    compared; falling powers of two find it.
     """
-    before = F.shiftleft(_span_end(span), 32)
+    before = F.shiftleft(f["end"].cast("bigint"), 32)
     found = F.aggregate(
-        steps,
+        F.array(*[F.lit(1 << k) for k in range(26, -1, -1)]),
         F.lit(0),
         lambda n, step: F.when(F.coalesce(F.get(taken, n + step - 1) < before, F.lit(False)), n + step).otherwise(n),
     )
-    return F.coalesce(_span_end(F.get(taken, found - 1)) <= _span_begin(span), F.lit(True))
+    return F.coalesce(_of(fs, F.get(taken, found - 1))["end"] <= f["begin"], F.lit(True))
 
 
-def _greedy_by_batches(island: Column) -> Column:
-    """The same findings taken from a long island."""
-    no_spans, no_places = empty_array("bigint"), empty_array("int")
+def _of(fs: Column, key: Column) -> Column:
+    return F.get(fs, key.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
 
-    def nothing() -> Column:
-        return F.struct(no_spans.alias("spans"), no_places.alias("places"))
 
-    def fold(fs: Column) -> Column:
-        def take(state: Column, spans: Column, places: Column) -> Column:
-            """The places of one batch that are free, then those of them that do not overlap a better one of the batch."""
-            steps = F.filter(
-                F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda x: x <= F.size(state["spans"])
-            )
-            free = let(steps, lambda ss: F.filter(places, lambda i: _is_free(state["spans"], ss, spans[i])))
-            own = F.aggregate(
-                free,
-                nothing(),
-                lambda got, i: F.when(
-                    F.exists(
-                        got["spans"],
-                        lambda t: (_span_begin(t) < _span_end(spans[i])) & (_span_begin(spans[i]) < _span_end(t)),
-                    ),
-                    got,
-                ).otherwise(
-                    F.struct(
-                        F.array_append(got["spans"], spans[i]).alias("spans"),
-                        F.array_append(got["places"], i).alias("places"),
-                    )
-                ),
-            )
-            return let(
-                own,
-                lambda got: F.struct(
-                    F.sort_array(F.concat(state["spans"], got["spans"])).alias("spans"),
-                    F.concat(state["places"], got["places"]).alias("places"),
-                ),
-            )
-
-        def over(spans: Column) -> Column:
-            batches = F.sequence(F.lit(0), F.floor((F.size(fs) - 1) / ISLAND_BATCH).cast("int"))
-            last = F.size(fs) - 1
-            return F.aggregate(
-                batches,
-                nothing(),
-                lambda state, b: take(
-                    state, spans, F.sequence(b * ISLAND_BATCH, F.least(b * ISLAND_BATCH + (ISLAND_BATCH - 1), last))
-                ),
-            )
-
-        return let(
-            let(F.transform(fs, _span), over), lambda done: F.transform(done["places"], lambda i: F.get(fs, i))
+def _greedy_by_batches(fs: Column) -> Column:
+    """The same findings taken from a long island."""
+    batches = F.sequence(F.lit(0), F.floor((F.size(fs) - 1) / ISLAND_BATCH).cast("int"))
+    nothing = empty_array("bigint")
+
+    def places(b: Column) -> Column:
+        return F.sequence(b * ISLAND_BATCH, F.least((b + 1) * ISLAND_BATCH, F.size(fs)) - 1)
+
+    def taken_of(free: Column) -> Column:
+        """Of the free findings of a batch, those that do not overlap a better one of it."""
+        return F.aggregate(
+            free,
+            nothing,
+            lambda got, i: F.when(F.exists(got, lambda t: _overlap(_of(fs, t), fs[i])), got).otherwise(
+                F.array_append(got, F.shiftleft(fs[i]["begin"].cast("bigint"), 32) + i)
+            ),
         )
 
-    return let(_by_merit(island), fold)
+    taken = F.aggregate(
+        batches,
+        nothing,
+        lambda got, b: F.sort_array(F.concat(got, taken_of(F.filter(places(b), lambda i: _is_free(fs, got, fs[i]))))),
+    )
+    return F.transform(taken, lambda t: _of(fs, t))
 
 
 def _fold_island(island: Column) -> Column:
@@ -212,8 +168,9 @@ def _fold_island(island: Column) -> Column:
             )
         )
 
-    in_order = F.when(F.size(island) <= SHORT_ISLAND, by_position(_greedy_by_all(island))).otherwise(
-        by_position(_greedy_by_batches(island))
+    in_order = let(
+        _by_merit(island),
+        lambda fs: by_position(F.when(F.size(fs) <= SHORT_ISLAND, _greedy_by_all(fs)).otherwise(_greedy_by_batches(fs))),
     )
 
     def close(taken: Column) -> Column:

@@ -36,6 +36,7 @@ from veilwork.operators.merge import (
 from veilwork.operators.rules import CHUNK_FIELDS, CHUNK_TYPE, Rule, rule_findings
 
 DEFAULT_RULES = CONTEXT_RULES + PATTERN_RULES
+FOUND = "veilwork_findings"
 
 
 def pruned_rules(rules: Sequence[Rule], labels: Sequence[str]) -> tuple[Rule, ...]:
@@ -89,9 +90,13 @@ def findings(
 
 
 @lru_cache(maxsize=64)
-def _resolved_column(gateway, text, labels, rules, word_lists, with_extra, precedence) -> Column:
-    extra = F.col("extra") if with_extra else None
-    return resolve_findings(findings(F.col(text), labels, rules, dict(word_lists), extra), precedence)
+def _found_column(gateway, text, labels, rules, word_lists, with_extra) -> Column:
+    return findings(F.col(text), labels, rules, dict(word_lists), F.col("extra") if with_extra else None)
+
+
+@lru_cache(maxsize=64)
+def _resolved_column(gateway, precedence) -> Column:
+    return resolve_findings(F.col(FOUND), precedence)
 
 
 @lru_cache(maxsize=64)
@@ -104,11 +109,16 @@ def _items(mapping: Mapping | None) -> tuple:
     return tuple((k, v if isinstance(v, str) else tuple(v)) for k, v in pairs)
 
 
-def _resolved(text, labels, rules, word_lists, with_extra, precedence) -> Column:
-    return _resolved_column(
-        SparkContext._gateway, text, accepted_labels(labels), tuple(rules), _items(word_lists), with_extra,
-        tuple(precedence),
-    )
+def _with_resolved(docs: DataFrame, text, labels, rules, word_lists, with_extra, precedence) -> DataFrame:
+    """``docs`` with the column ``resolved``.
+
+    Finding and resolving are two projections, which the optimizer merges: as one expression they would take Spark more
+    rounds to analyse than it allows.
+    """
+    gateway = SparkContext._gateway
+    found = _found_column(gateway, text, accepted_labels(labels), tuple(rules), _items(word_lists), with_extra)
+    resolved = _resolved_column(gateway, tuple(precedence))
+    return docs.withColumn(FOUND, found).withColumn("resolved", resolved).drop(FOUND)
 
 
 def chunk_table(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
@@ -134,8 +144,8 @@ def find_entities(
         warn_of_labels_without_detector(labels, rules, word_lists)
     else:
         docs = attach_chunks(docs.select(key, text), extra_chunks, key)
-    resolved = _resolved(text, labels, rules, word_lists, extra_chunks is not None, precedence)
-    return chunk_table(docs, resolved["kept"], key)
+    done = _with_resolved(docs.select(key, text, *(["extra"] if extra_chunks is not None else [])), text, labels, rules, word_lists, extra_chunks is not None, precedence)
+    return chunk_table(done, F.col("resolved.kept"), key)
 
 
 def attach_chunks(docs: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -174,9 +184,7 @@ def deidentify_text(
         return docs.withColumns({"deidentified": F.col(text), "chunks": empty_array(CHUNK_TYPE), "residual": empty_array(SPAN_TYPE)})
     if extra_chunks is not None:
         docs = attach_chunks(docs, extra_chunks, key)
-    out = docs.withColumn(
-        "resolved", _resolved(text, labels, rules, word_lists, extra_chunks is not None, precedence)
-    )
+    out = _with_resolved(docs, text, labels, rules, word_lists, extra_chunks is not None, precedence)
     return out.withColumn(
         "deidentified",
         _rebuilt_column(SparkContext._gateway, text, salt, _items(policy), _items(surrogates)),
