@@ -119,9 +119,25 @@ def _flags(rule: Rule) -> str:
 
 
 def _alternatives(words: Sequence[str]) -> str:
-    """One of the words; the lookahead rejects most positions before trying any."""
+    """One of the words; the lookahead rejects most positions before trying any.
+
+    Words share their beginnings (``lic(?:ense|ence)?``), so a character is compared once and not once a word.
+    """
     firsts = "".join(sorted({re.escape(w[0]) for w in words}))
-    return f"(?=[{firsts}])(?:" + "|".join(re.escape(w) for w in sorted(set(words))) + ")"
+    return f"(?=[{firsts}])" + _shared(sorted(set(words)))
+
+
+def _shared(words: Sequence[str]) -> str:
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    arms = [re.escape(c) + (_shared(ws) if ws != [""] else "") for c, ws in rest.items()]
+    if not arms:
+        return ""
+    if len(arms) == 1 and "" not in words:
+        return arms[0]
+    return "(?:" + "|".join(arms) + ")" + ("?" if "" in words else "")
 
 
 def _is_alnum(char: str) -> bool:
@@ -179,17 +195,20 @@ def _context_holds(rule: Rule, m: Column, window: Window, size: Column) -> Colum
     sides = []
     if rule.prefix:
         before = window(F.greatest(F.lit(0), m["begin"] - width(rule.prefix)), m["begin"])
-        if in_sentence:
-            before = F.regexp_replace(before, EARLIER_SENTENCES, "")
-        sides.append(before.rlike(_flags(rule) + prefix_regex(rule.prefix, rule.context_length)))
+        trimmed = F.regexp_replace(before, EARLIER_SENTENCES, "") if in_sentence else before
+        sides.append(_holds(before, trimmed, rule.prefix, _flags(rule), prefix_regex(rule.prefix, rule.context_length)))
     if rule.suffix:
         after = window(m["end"], F.least(size, m["end"] + width(rule.suffix)))
-        if in_sentence:
-            after = F.regexp_extract(after, REST_OF_SENTENCE, 0)
-        sides.append(after.rlike(_flags(rule) + suffix_regex(rule.suffix, rule.context_length)))
+        trimmed = F.regexp_extract(after, REST_OF_SENTENCE, 0) if in_sentence else after
+        sides.append(_holds(after, trimmed, rule.suffix, _flags(rule), suffix_regex(rule.suffix, rule.context_length)))
     return reduce(lambda a, b: a & b if rule.prefix_and_suffix else a | b, sides)
 
 
+def _holds(side: Column, in_sentence: Column, words: Sequence[str], flags: str, regex: str) -> Column:
+    """The word test of one side; most windows hold no word at all, which a plain search tells before the window is cut."""
+    return side.rlike(flags + _alternatives(words)) & in_sentence.rlike(flags + regex)
+
+
 def _sub_token_matches(rule: Rule, text: Column) -> Column:
     found = find_matches(text, _flags(rule) + rule.regex)
     if rule.cut:
