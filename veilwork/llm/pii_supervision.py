@@ -36,7 +36,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone", "mail", "tel", "ssn", "secret")
 BASE_KINDS, ADDED_KINDS = KINDS[:4], KINDS[4:]
 
-MAIL_FORM = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]{2,63})+"
+#: Every part ends where its run of characters does, so the parts are read possessively: a loop, not a recursion for each.
+MAIL_FORM = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]{2,63}+(?![A-Za-z0-9_@-]))++"
 TEL_3_3_4 = r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
 #: Other national groupings: five pairs, an area code in 0, nine digits from 6 to 9.
 TEL_PAIRS, TEL_AREA = r"0[1-9](?:[\x20.-][0-9]{2}){4}", r"\(?0[1-9][0-9]{1,4}\)?(?:\x20?[/-]\x20?|\x20)[0-9]{3,8}(?:[\x20-][0-9]{2,8}){0,2}"
