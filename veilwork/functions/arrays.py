@@ -100,3 +100,16 @@ def block_substring(blocks: Column, begin: Column, end: Column) -> Column:
     return F.when(end <= begin, F.lit("")).otherwise(
         let(F.shiftright(begin, TEXT_BLOCK_BITS), cut)
     )
+
+
+def leading_count(size: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many of ``size`` elements, from the first on, satisfy a test that none satisfies after one that does not.
+
+    ``holds`` takes an index.  Falling powers of two make it a binary search.
+    """
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda x: x <= size)
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda n, step: F.when((n + step <= size) & holds(n + step - 1), n + step).otherwise(n),
+    )

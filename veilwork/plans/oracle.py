@@ -81,9 +81,9 @@ TOKS = f"""toks AS MATERIALIZED (
 def matches(name: str, source: str, text: str, pattern: str, lead: str = "") -> str:
     """CTE name(*, m, mb, me): matches of a regex in a text column, offsets inside it.
 
-    ``lead`` is literal text before the wanted part.
+    ``lead`` is what stands before the wanted part.
     """
-    marked = f"regexp_replace({text}, {lit(f'{lead}({pattern})')}, '{lead}' || chr(1) || '\\1' || chr(1), 'g')"
+    marked = f"regexp_replace({text}, {lit(f'({lead})({pattern})')}, '\\1' || chr(1) || '\\2' || chr(1), 'g')"
     return f"""{name} AS MATERIALIZED (
   SELECT * EXCLUDE (i), cast(start AS INT) AS mb, cast(start + length(m) AS INT) AS me FROM (
     SELECT *, coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i
@@ -151,6 +151,7 @@ SHAPES = {
         "NOT regexp_matches(substr(t, greatest(mb - 1, 1), least(mb, 2)), '^[0-9][ \\t\\n\\x0B\\f\\r]$')"
         " AND NOT regexp_matches(substr(t, me + 1, 1), '[0-9]')",
     ),
+    "pattern_NAME": (cat.NAME_SHAPE, cat.NAME_LEAD, "true"),
     "pattern_EMAIL": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "", "true"),
 }
 
@@ -432,7 +433,9 @@ def build() -> dict[str, str]:
         "detector FROM raw",
     )
     o["label_whitelist"] = findings(ctx, "notes", NOTES, raw + " WHERE entity IN ('SSN', 'AGE', 'IDNUM')")
-    o["default_labels"] = findings((by["AGE"], by["SSN"]), "notes", NOTES, raw)
+    o["default_labels"] = findings(
+        (by["AGE"], by["SSN"], cat.PATTERN_RULES_BY_ENTITY["NAME"]), "notes", NOTES, f"SELECT {CHUNK_COLS} FROM kept", True, greedy("raw")
+    )
     o["chunk_conversion"] = findings(
         ctx, "notes", NOTES,
         "SELECT detector, count(*) AS n, min(chunk) AS first, max(chunk) AS last FROM raw GROUP BY detector",
@@ -554,11 +557,10 @@ FROM (SELECT *, "begin" // 16 AS b FROM spans) LEFT JOIN {RANKS} ON detector = r
         """SELECT page_id, chunk, entity, cast(coalesce(nb, mb) AS INT) AS "begin",
   cast(coalesce(nb, mb) + length(chunk) AS INT) AS "end" FROM moved m LEFT JOIN near USING (page_id, chunk, entity, mb)""",
         (
-            WORDS,
             'moved AS (SELECT doc_id AS page_id, chunk, entity, "begin" + doc_id % 150 AS mb FROM kept)',
-            f"near AS (SELECT page_id, chunk, entity, mb, arg_min(b, (abs(b - mb), b)) AS nb FROM moved JOIN words w "
-            f"USING (page_id) WHERE rtrim(word, '{PUNCT}') = string_split(chunk, ' ')[1] "
-            f"AND abs(b - mb) <= {cat.MATCHING_WINDOW} GROUP BY ALL)",
+            f"places AS (SELECT *, unnest(range(greatest(mb - {cat.MATCHING_WINDOW}, 0), mb + {cat.MATCHING_WINDOW} + 1)) AS b FROM moved)",
+            "near AS (SELECT page_id, chunk, entity, mb, arg_min(b, (abs(b - mb), b)) AS nb FROM places JOIN notes ON doc_id = page_id "
+            "WHERE substr(trim(text), b + 1, length(chunk)) = chunk GROUP BY ALL)",
         ),
     )
     o["fill_regions"] = with_all(PIXELS, PAINTED, then=pixel_lines("painted"))
@@ -625,9 +627,23 @@ FROM runs JOIN notes USING (doc_id) WHERE entity IS NOT NULL GROUP BY doc_id, se
         then="""SELECT doc_id, sent_id, min(b) AS "begin", max(e) AS "end", string_agg(tok, ' ' ORDER BY token_id) AS chunk,
   entity, 'tagger' AS detector FROM runs WHERE entity IS NOT NULL GROUP BY doc_id, sent_id, run, entity""",
     )
+    names = """named AS (SELECT *, token_id > 0 AND regexp_matches(tok, '^[A-Z][a-z]+$') AS capital FROM toks),
+runs AS (SELECT *, token_id - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY token_id) AS run FROM named WHERE capital)"""
     o["tag_tokens"] = with_all(
-        TURNS, sents("turns"), TOKS,
-        then="SELECT CASE WHEN regexp_matches(tok, '^[A-Z][a-z]+$') THEN 'B-NAME' ELSE 'O' END AS tag, count(*) AS n FROM toks GROUP BY 1",
+        ADMISSIONS, sents("admissions"), TOKS, names,
+        then="""SELECT tag, count(*) AS n FROM (
+  SELECT CASE WHEN NOT capital THEN 'O'
+    WHEN lag(capital) OVER (PARTITION BY doc_id, sent_id ORDER BY token_id) THEN 'I-CONTACT' ELSE 'B-CONTACT' END AS tag FROM named)
+GROUP BY tag""",
+    )
+    masked = (cat.PATTERN_RULES_BY_ENTITY["DATE"], cat.PATTERN_RULES_BY_ENTITY["URL"])
+    spans = """tagger_chunks AS (
+  SELECT * FROM raw UNION ALL
+  SELECT doc_id, sent_id, cast(min(b) AS INT), cast(max(e) AS INT), substr(any_value(text), min(b) + 1, max(e) - min(b)), 'PHONE', 'tagger'
+  FROM runs JOIN admissions USING (doc_id) GROUP BY doc_id, sent_id, run)"""
+    o["deidentify_with_tagger"] = findings(
+        masked, "admissions", ADMISSIONS, "SELECT doc_id, deidentified FROM rebuilt", True,
+        (TOKS, names, spans, *greedy("tagger_chunks"), *rebuild("admissions", "kept", {e: "mask_label" for e in ("PHONE", "DATE", "URL")})),
     )
     o["pipeline_composition"] = findings((by["SSN"], by["AGE"]), "notes", NOTES, counts.format("raw"))
     o["layer_switch"] = findings(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from veilwork.plans.text import (
     deidentify_text,
     find_entities,
     findings,
+    with_findings_on_row,
 )
 from veilwork.sources import readers, writers
 from veilwork.streaming.intake import run_intake, stream_files, windowed_counts
@@ -612,15 +615,13 @@ def position_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("position_realign")
 def position_realign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings whose offsets drifted, moved back to the nearest equal word."""
-    words = fx.word_boxes(spark, sf_dir).join(fx.page_words(spark, sf_dir), ["page_id", "word_id"]).select(
-        "page_id", "b", "e", F.rtrim("word", F.lit(".,;:!?()")).alias("word")
-    )
+    """Findings whose offsets drifted, moved back to the nearest place of their characters in the page's text."""
+    pages = fx.note_docs(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.trim("text").alias("text"))
     drift = F.col("page_id").cast("int") % 150
     moved = _page_chunks(spark, sf_dir).select(
         "page_id", "chunk", "entity", (F.col("begin") + drift).alias("begin"), (F.col("end") + drift).alias("end")
     )
-    return imaging.realign_chunks(moved, words)
+    return imaging.realign_chunks(moved, pages)
 
 
 @query("fill_regions")
@@ -690,28 +691,49 @@ def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tags_to_chunks")
 def tags_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak tags of the rule findings, turned back into findings."""
-    docs = fx.note_docs(spark, sf_dir)
-    toks = tagging.token_table(docs)
-    return tagging.tags_to_chunks(tagging.weak_tags(toks, _resolved_notes(spark, sf_dir)), docs)
+    """Tags of the rule findings, turned back into findings, all on the notes' rows."""
+    docs = with_findings_on_row(fx.note_docs(spark, sf_dir), RULE_LABELS, CONTEXT_RULES)
+    docs = docs.withColumn("toks", tagging.token_array(F.col("text")))
+    docs = docs.withColumn("tags", tagging.tags_of_findings(F.col("toks"), F.col("resolved.kept")))
+    return chunk_table(docs, tagging.tag_runs(F.col("toks"), F.col("tags"), F.col("text")))
 
 
 @query("stray_tags_to_chunks")
 def stray_tags_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags by token length, with stray continuations and label changes."""
-    n = F.length("token") % 5
-    tag = F.when(n == 0, "B-NAME").when(n == 1, "I-NAME").when(n == 2, "I-CITY").otherwise("O")
-    return tagging.tags_to_chunks(tagging.token_table(fx.turns(spark, sf_dir)).withColumn("tag", tag))
+    docs = fx.turns(spark, sf_dir).withColumn("toks", tagging.token_array(F.col("text")))
+    n = lambda t: F.length(t["token"]) % 5
+    tag = lambda t: F.when(n(t) == 0, "B-NAME").when(n(t) == 1, "I-NAME").when(n(t) == 2, "I-CITY").otherwise("O")
+    return chunk_table(docs.withColumn("tags", F.transform("toks", tag)), tagging.tag_runs(F.col("toks"), F.col("tags")))
+
+
+def _name_scores(sentences: list[list[str]]) -> list[np.ndarray]:
+    """A stand-in model: a capitalised word that does not open its sentence belongs to a name."""
+    capital = re.compile(r"[A-Z][a-z]+")
+    return [np.array([(0, 1, 2) if i and capital.fullmatch(t) else (1, 0, 0) for i, t in enumerate(s)]) for s in sentences]
+
+
+NAME_TAGS = ("O", "B-CONTACT", "I-CONTACT")
+
+
+def _tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.tag_sentences(tagging.sentence_table(_admission_docs(spark, sf_dir)), _name_scores, NAME_TAGS)
 
 
 @query("tag_tokens")
 def tag_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small model plugged in over Arrow batches: capitalised words are names."""
-    toks = tagging.token_table(fx.turns(spark, sf_dir))
-    tagged = tagging.tag_tokens(
-        toks, lambda batch: ["b-name" if c else "o" for c in batch["token"].str.match(r"^[A-Z][a-z]+$")]
-    )
-    return tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    """Tags of a small model that sees whole sentences; only legal sequences come out."""
+    return _tagged_sentences(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("deidentify_with_tagger")
+def deidentify_with_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model, legal tags, findings, label rename, overlaps with pattern findings, rewriting."""
+    rules = (PATTERN_RULES_BY_ENTITY["DATE"], PATTERN_RULES_BY_ENTITY["URL"])
+    extra = tagging.tagger_chunks(_tagged_sentences(spark, sf_dir))
+    masks = {"PHONE": "mask_label", "DATE": "mask_label", "URL": "mask_label"}
+    done = deidentify_text(_admission_docs(spark, sf_dir), CHECK_SALT, ("CONTACT", "DATE", "URL"), masks, rules, extra_chunks=extra)
+    return done.select("doc_id", "deidentified")
 
 
 @query("trained_tagger")

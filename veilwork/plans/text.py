@@ -121,6 +121,18 @@ def _with_resolved(docs: DataFrame, text, labels, rules, word_lists, with_extra,
     return docs.withColumn(FOUND, found).withColumn("resolved", resolved).drop(FOUND)
 
 
+def with_findings_on_row(
+    docs: DataFrame,
+    labels: Iterable[str] | None = None,
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    text: str = "text",
+    precedence: Sequence[tuple[str, str]] = PRECEDENCE,
+    word_lists: Mapping[str, Sequence[str]] = WORD_LISTS,
+) -> DataFrame:
+    """``docs`` with ``resolved``: its disjoint findings (``kept``) and what dropped ones leave bare (``residual``)."""
+    return _with_resolved(docs, text, labels, rules, word_lists, False, precedence)
+
+
 def chunk_table(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
     """One row per finding.  The outer form keeps Spark from evaluating ``found`` twice."""
     return docs.select(key, F.inline_outer(found)).filter(F.col("chunk").isNotNull())
