@@ -10,7 +10,7 @@ from veilwork.plans import oracle
 from veilwork.plans.queries import QUERIES
 
 SQL = oracle.build()
-ROWS_ONLY = {"binary_source", "trained_tagger", "streamed_intake"}
+ROWS_ONLY = {"trained_tagger"}
 
 
 def test_every_query_has_a_twin_or_is_listed():

@@ -166,6 +166,17 @@ def span_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*[f"{sql} as {c}" for c, sql in SPAN_CHUNK_SQL.items()])
 
 
+# The same findings around one of three borders between blocks of 2^16 characters.
+BORDER_CHUNK_SQL = SPAN_CHUNK_SQL | {
+    "begin": "cast(65536 * (1 + l_orderkey % 3) - 30 + l_partkey % 60 as int)",
+    "end": "cast(65536 * (1 + l_orderkey % 3) - 29 + l_partkey % 60 + l_suppkey % 17 as int)",
+}
+
+
+def border_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{sql} as {c}" for c, sql in BORDER_CHUNK_SQL.items()])
+
+
 IMAGE_ROWS = 400
 
 

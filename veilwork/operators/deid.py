@@ -2,22 +2,38 @@
 
 The whole step is an expression on the document's row.  A surrogate depends
 only on salt, label and text, so it is the same in every partition and every run.
+
+The salt is a secret.  Entry points read it from a one-row table as a scalar subquery, so plans, ``explain`` and event logs
+name its column and never hold its value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions.arrays import block_substring, let, text_blocks
 from veilwork.operators.catalog import SAME_LENGTH_LABELS, SURROGATES
 
+SALT = "veilwork_salt"
 MODES = ("obfuscate", "mask_label", "mask_same_length", "mask_fixed", "skip")
 DEFAULT_MODE = "obfuscate"
 
 
+def with_salt(docs: DataFrame, salt: str | DataFrame) -> DataFrame:
+    """``docs`` with the secret in the column ``SALT``: a string, or a table of one row whose first column holds it."""
+    if isinstance(salt, str):
+        if not salt:
+            raise ValueError("a salt is required")
+        salt = docs.sparkSession.createDataFrame([(salt,)], "salt string")
+    # an empty or null secret must not pass for one
+    held = salt.select(F.col(salt.columns[0]).cast("string").alias("salt"))
+    checked = F.when(F.length("salt") > 0, F.col("salt")).otherwise(F.raise_error(F.lit("a salt is required")))
+    return docs.withColumn(SALT, held.select(checked.alias("salt")).scalar())
+
+
 def check_policy(policy: Mapping[str, str] | None) -> dict[str, str]:
     policy = dict(policy or {})
     unknown = {m for m in policy.values() if m not in MODES}
@@ -26,8 +42,8 @@ def check_policy(policy: Mapping[str, str] | None) -> dict[str, str]:
     return policy
 
 
-def _digest(entity: Column, chunk: Column, salt: str) -> Column:
-    return F.sha2(F.concat(F.lit(f"{salt}|"), entity, F.lit("|"), F.lower(chunk)), 256)
+def _digest(entity: Column, chunk: Column, salt: Column) -> Column:
+    return F.sha2(F.concat(salt, F.lit("|"), entity, F.lit("|"), F.lower(chunk)), 256)
 
 
 def _hex_value(digits: Column) -> Column:
@@ -73,7 +89,7 @@ def label_mask(entity: Column) -> Column:
     return F.concat(F.lit("<"), entity, F.lit(">"))
 
 
-def obfuscated(entity: Column, chunk: Column, salt: str, surrogates: Mapping[str, Sequence[str]]) -> Column:
+def obfuscated(entity: Column, chunk: Column, salt: Column, surrogates: Mapping[str, Sequence[str]]) -> Column:
     def choose(digest: Column) -> Column:
         out = F.when(entity.isin(*SAME_LENGTH_LABELS), same_length_surrogate(chunk, digest))
         for label, values in surrogates.items():
@@ -90,7 +106,7 @@ def obfuscated(entity: Column, chunk: Column, salt: str, surrogates: Mapping[str
 def replacement(
     entity: Column,
     chunk: Column,
-    salt: str,
+    salt: Column,
     policy: Mapping[str, str] | None = None,
     surrogates: Mapping[str, Sequence[str]] = SURROGATES,
 ) -> Column:
@@ -110,7 +126,7 @@ def replacement(
     return out
 
 
-def rebuilt_text(text: Column, resolved: Column, salt: str, policy=None, surrogates=SURROGATES) -> Column:
+def rebuilt_text(text: Column, resolved: Column, salt: Column, policy=None, surrogates=SURROGATES) -> Column:
     """The text with every kept finding replaced and every residual span starred out."""
 
     def edits() -> Column:

@@ -24,7 +24,7 @@ def _between(rules: Sequence[Rule]) -> str:
 
 def deidentify_metadata(
     frame: DataFrame,
-    salt: str,
+    salt: str | DataFrame,
     sensitive_keys: Mapping[str, str],
     column: str = "metadata",
     labels: Iterable[str] | None = None,

@@ -396,7 +396,8 @@ def build() -> dict[str, str]:
     for r in ctx:
         o[f"rule_{r.entity.lower()}"] = findings((r,), "notes", NOTES, raw)
     o["rules_one_pass"] = findings(ctx, "notes", NOTES, raw)
-    o["rules_documents"] = findings(ctx, "docs", DOCS, raw)
+    announced = r"docs AS (SELECT doc_id, regexp_replace(text, '([A-Za-z0-9._%+-]+@)', 'mail \1', 'g') AS text FROM documents)"
+    o["rules_documents"] = findings(ctx, "docs", announced, raw)
     o["rule_prefix_and_suffix"] = findings((BOTH_SIDES_RULE,), "notes", NOTES, raw)
     o["rule_case_insensitive"] = findings((CASE_RULE,), "notes", NOTES, raw)
     o["rule_all_tokens"] = findings((PLAIN_TOKEN_RULE,), "notes", NOTES, raw)
@@ -455,6 +456,10 @@ def build() -> dict[str, str]:
     o["overlap_resolution"] = with_all(
         SPANS, *greedy("spans"), then=f"SELECT {CHUNK_COLS} FROM kept", recursive=True
     )
+    borders = "spans AS (SELECT " + ", ".join(f'{sql} AS "{c}"' for c, sql in fx.BORDER_CHUNK_SQL.items()) + " FROM lineitem)"
+    o["overlap_resolution_blocks"] = with_all(
+        borders, *greedy("spans"), then=f"SELECT {CHUNK_COLS} FROM kept", recursive=True
+    )
     o["overlap_residual"] = with_all(
         SPANS, *greedy("spans"),
         then='SELECT DISTINCT doc_id, cast(position AS INT) AS position FROM (SELECT doc_id, unnest(range("begin", "end")) AS position FROM spans) '
@@ -473,6 +478,9 @@ FROM (SELECT *, "begin" // 16 AS b FROM spans) LEFT JOIN {RANKS} ON detector = r
         ctx, "notes", NOTES, "SELECT doc_id FROM notes WHERE doc_id NOT IN (SELECT doc_id FROM raw)"
     )
 
+    o["documents_with_foreign_findings"] = with_all(
+        SPANS, then="SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey IN (SELECT doc_id FROM spans WHERE entity = 'VIN')"
+    )
     per_doc = """SELECT doc_id, {} FROM notes LEFT JOIN
   (SELECT doc_id, count(*) AS n, string_agg(chunk, '{}' ORDER BY chunk) AS r FROM raw GROUP BY doc_id) USING (doc_id)"""
     o["nested_fields"] = findings(
@@ -602,7 +610,23 @@ FROM cells LEFT JOIN (SELECT DISTINCT page_id, y, x FROM covered) r USING (page_
   || ',"numberOfChars":' || characters || '}' AS summary FROM per_file""",
         more=(per_file,),
     )
-    o["page_count"] = "SELECT count(*) AS pages FROM pages"
+    o["binary_source"] = """SELECT cast(c_nationkey AS INT) AS nation, cast(sum(octet_length(encode('é ' || c_name)) + 1) AS BIGINT) AS length,
+  sha256(string_agg('é ' || c_name || chr(10), '' ORDER BY c_custkey)) AS digest FROM customer GROUP BY c_nationkey"""
+    mail_and_url = (by["EMAIL"], cat.PATTERN_RULES_BY_ENTITY["EMAIL"], cat.PATTERN_RULES_BY_ENTITY["URL"])
+    o["streamed_intake"] = findings(
+        mail_and_url, "docs", DOCS,
+        "SELECT 1 AS status, count(*) AS entities, cast(sum(length(chunk)) AS BIGINT) AS characters FROM kept", True, greedy("raw"),
+    )
+    o["page_count"] = with_all(NOTES, then="SELECT count(*) AS pages FROM notes WHERE trim(text) <> ''")
+    o["file_totals"] = notes_kept(
+        """SELECT 'file/' || doc_id % 7 AS path, count(*) AS pages, cast(coalesce(sum(n), 0) AS BIGINT) AS entities,
+  cast(coalesce(sum(c), 0) AS BIGINT) AS characters FROM notes LEFT JOIN
+  (SELECT doc_id, count(*) AS n, sum(length(chunk)) AS c FROM kept GROUP BY doc_id) USING (doc_id) GROUP BY 1"""
+    )
+    o["unplaced_findings"] = notes_kept(
+        """SELECT DISTINCT page_id, "begin", "end", entity FROM kept JOIN words ON page_id = doc_id
+WHERE page_id % 10 = 0 AND word_id = 2 AND "begin" < e AND b < "end\"""", (WORDS,)
+    )
 
     # A finding as wide as its tokens' outer edges, so punctuation inside stays and edges are trimmed.
     covered = (
@@ -627,6 +651,7 @@ FROM runs JOIN notes USING (doc_id) WHERE entity IS NOT NULL GROUP BY doc_id, se
         then="""SELECT doc_id, sent_id, min(b) AS "begin", max(e) AS "end", string_agg(tok, ' ' ORDER BY token_id) AS chunk,
   entity, 'tagger' AS detector FROM runs WHERE entity IS NOT NULL GROUP BY doc_id, sent_id, run, entity""",
     )
+    o["weak_tags"] = notes_kept("SELECT coalesce(tag, 'O') AS tag, count(*) AS n FROM covered GROUP BY 1", (covered,))
     names = """named AS (SELECT *, token_id > 0 AND regexp_matches(tok, '^[A-Z][a-z]+$') AS capital FROM toks),
 runs AS (SELECT *, token_id - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY token_id) AS run FROM named WHERE capital)"""
     o["tag_tokens"] = with_all(

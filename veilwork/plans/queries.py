@@ -28,6 +28,7 @@ from veilwork.plans.text import (
     chunk_table,
     count_entities,
     deidentify_text,
+    documents_by_findings,
     find_entities,
     findings,
     with_findings_on_row,
@@ -87,9 +88,15 @@ def text_source_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("binary_source")
 def binary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, length and digest of the table files themselves."""
-    return readers.read_binary(spark, f"{sf_dir}/*.parquet").select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("digest")
+    """Length and digest of files read as bytes: one file of customer names for each nation, non-ASCII letters among them."""
+    path = writers.scratch_path(spark, "binary")
+    lines = fx.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("nation"), "c_custkey", F.concat(F.lit("é "), "c_name").alias("value")
+    )
+    one_each = lines.repartition("nation").sortWithinPartitions("nation", "c_custkey")
+    one_each.select("nation", "value").write.partitionBy("nation").text(path)
+    return readers.read_binary(spark, f"{path}/*/part-*").select(
+        F.regexp_extract("path", "nation=([0-9]+)", 1).cast("int").alias("nation"), "length", F.sha2("content", 256).alias("digest")
     )
 
 
@@ -126,7 +133,7 @@ def policy_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy written as JSON, read back; findings by label and the mode they get."""
     path = writers.scratch_path(spark, "policy")
     readers.write_policy(spark, CHECK_POLICY, path)
-    policy = spark.read.schema(readers.POLICY_SCHEMA).json(path)
+    policy = spark.createDataFrame(sorted(readers.read_policy(spark, path).items()), readers.POLICY_SCHEMA)
     counts = _note_chunks(spark, sf_dir).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(policy, "entity", "left").select(
         "entity", F.coalesce("mode", F.lit(deid.DEFAULT_MODE)).alias("mode"), "n"
@@ -245,7 +252,10 @@ def rules_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rules_documents")
 def rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_table(fx.documents(spark, sf_dir), rule_findings(F.col("text"), CONTEXT_RULES))
+    """All rules over whole documents, in which every address is announced by a context word."""
+    announced = F.regexp_replace("text", r"([A-Za-z0-9._%+-]+@)", "mail $1")
+    docs = fx.documents(spark, sf_dir).withColumn("text", announced)
+    return chunk_table(docs, rule_findings(F.col("text"), CONTEXT_RULES))
 
 
 BOTH_SIDES_RULE = Rule(
@@ -404,6 +414,12 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.kept_chunks(merge.resolve_chunks(fx.span_chunks(spark, sf_dir)))
 
 
+@query("overlap_resolution_blocks")
+def overlap_resolution_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of overlapping findings that cross the border between two position blocks."""
+    return merge.kept_chunks(merge.resolve_chunks(fx.border_chunks(spark, sf_dir)))
+
+
 @query("overlap_residual")
 def overlap_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of dropped findings that no kept one covers."""
@@ -426,12 +442,19 @@ def duplicate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("documents_with_findings")
 def documents_with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.with_findings(fx.note_docs(spark, sf_dir), _note_chunks(spark, sf_dir)).select("doc_id")
+    return documents_by_findings(fx.note_docs(spark, sf_dir), CONTEXT_RULES, True).select("doc_id")
 
 
 @query("documents_without_findings")
 def documents_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.without_findings(fx.note_docs(spark, sf_dir), _note_chunks(spark, sf_dir)).select("doc_id")
+    return documents_by_findings(fx.note_docs(spark, sf_dir), CONTEXT_RULES, False).select("doc_id")
+
+
+@query("documents_with_foreign_findings")
+def documents_with_foreign_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a finding among those of another table."""
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return stats.with_findings(orders, fx.span_chunks(spark, sf_dir).where("entity = 'VIN'"))
 
 
 # ---------------------------------------------------------------- annotations
@@ -472,9 +495,9 @@ def finisher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _surrogates(spark: SparkSession, sf_dir: str, policy=None) -> DataFrame:
-    return _resolved_notes(spark, sf_dir).select(
+    return deid.with_salt(_resolved_notes(spark, sf_dir), CHECK_SALT).select(
         "doc_id", "begin", "entity", "chunk",
-        deid.replacement(F.col("entity"), F.col("chunk"), CHECK_SALT, policy).alias("surrogate"),
+        deid.replacement(F.col("entity"), F.col("chunk"), F.col(deid.SALT), policy).alias("surrogate"),
     )
 
 
@@ -681,9 +704,32 @@ def file_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _file_statistics(spark, sf_dir)
 
 
+def _page_result(spark: SparkSession, sf_dir: str):
+    """Notes as pages of a file for each customer segment; one word of every tenth page has no box."""
+    words, boxes = fx.page_words(spark, sf_dir), fx.word_boxes(spark, sf_dir, 1, 1).drop("b", "e")
+    boxes = boxes.where("page_id % 10 <> 0 or word_id <> 2")
+    files = words.select("page_id").distinct().withColumn("path", F.concat(F.lit("file/"), F.col("page_id") % 7))
+    return deidentify_pages(
+        fx.page_pixels(spark, sf_dir), words, boxes, RULE_LABELS, CONTEXT_RULES, files=files
+    )
+
+
 @query("page_count")
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("pages"))
+    """Pages of the image entry point's result."""
+    return _page_result(spark, sf_dir).pages
+
+
+@query("file_totals")
+def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, findings and characters of each file of the image entry point."""
+    return _page_result(spark, sf_dir).files
+
+
+@query("unplaced_findings")
+def unplaced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that touch a word without a box, so that no region covers them whole."""
+    return _page_result(spark, sf_dir).unplaced.select("page_id", "begin", "end", "entity")
 
 
 # ---------------------------------------------------------------- taggers
@@ -736,6 +782,15 @@ def deidentify_with_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "deidentified")
 
 
+@query("weak_tags")
+def weak_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags a tagger is trained on, counted."""
+    docs = with_findings_on_row(fx.note_docs(spark, sf_dir), RULE_LABELS, CONTEXT_RULES)
+    docs = docs.withColumn("toks", tagging.token_array(F.col("text")))
+    tags = docs.select(F.explode(tagging.tags_of_findings(F.col("toks"), F.col("resolved.kept"))).alias("tag"))
+    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("trained_tagger")
 def trained_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token classifier fitted on weak tags; its agreement with them by tag."""
@@ -766,15 +821,13 @@ def layer_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("streamed_intake")
 def streamed_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of turns taken in as a stream; totals of the written summaries."""
+    """Files of documents taken in as a stream; totals of the written summaries."""
     base = writers.scratch_path(spark, "intake")
-    writers.write_text(fx.turns(spark, sf_dir), f"{base}/in", "text")
-    run_intake(
-        stream_files(spark, f"{base}/in", binary=True), f"{base}/out", f"{base}/state", CHECK_SALT,
-        ["PHONE", "EMAIL", "URL"],
-    )
+    writers.write_text(fx.documents(spark, sf_dir).where("text is not null"), f"{base}/in", "text")
+    files = stream_files(spark, f"{base}/in", binary=True)
+    run_intake(files, f"{base}/out", f"{base}/state", CHECK_SALT, ["EMAIL", "URL"])
     return spark.read.parquet(f"{base}/out/summary").select(
-        F.from_json("summary", "status int, numberOfPages int, numberOfDeidEntities int, numberOfChars int").alias("s")
+        F.from_json("summary", "status int, numberOfPages int, numberOfDeidEntities bigint, numberOfChars bigint").alias("s")
     ).agg(
         F.min("s.status").alias("status"),
         F.sum("s.numberOfDeidEntities").alias("entities"),

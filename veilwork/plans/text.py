@@ -24,7 +24,7 @@ from veilwork.operators.catalog import (
     SURROGATES,
     WORD_LISTS,
 )
-from veilwork.operators.deid import rebuilt_text
+from veilwork.operators.deid import SALT, rebuilt_text, with_salt
 from veilwork.operators.dictionary import word_findings
 from veilwork.operators.merge import (
     SPAN_TYPE,
@@ -100,8 +100,8 @@ def _resolved_column(gateway, precedence) -> Column:
 
 
 @lru_cache(maxsize=64)
-def _rebuilt_column(gateway, text, salt, policy, surrogates) -> Column:
-    return rebuilt_text(F.col(text), F.col("resolved"), salt, dict(policy), dict(surrogates))
+def _rebuilt_column(gateway, text, policy, surrogates) -> Column:
+    return rebuilt_text(F.col(text), F.col("resolved"), F.col(SALT), dict(policy), dict(surrogates))
 
 
 def _items(mapping: Mapping | None) -> tuple:
@@ -133,6 +133,16 @@ def with_findings_on_row(
     return _with_resolved(docs, text, labels, rules, word_lists, False, precedence)
 
 
+def documents_by_findings(docs: DataFrame, rules: Sequence[Rule], having: bool, text: str = "text") -> DataFrame:
+    """Documents in which the rules find something, or those in which they find nothing (null texts among them).
+
+    A test of the findings on the row: one scan, no join.  For findings made elsewhere see ``stats.with_findings``.
+    """
+    some = F.coalesce(F.size(F.col(FOUND)) > 0, F.lit(False))
+    kept = docs.withColumn(FOUND, rule_findings(F.col(text), rules)).where(some if having else ~some)
+    return kept.select(*docs.columns)
+
+
 def chunk_table(docs: DataFrame, found: Column, key: str = "doc_id") -> DataFrame:
     """One row per finding.  The outer form keeps Spark from evaluating ``found`` twice."""
     return docs.select(key, F.inline_outer(found)).filter(F.col("chunk").isNotNull())
@@ -172,7 +182,7 @@ def attach_chunks(docs: DataFrame, chunks: DataFrame, key: str = "doc_id") -> Da
 
 def deidentify_text(
     docs: DataFrame,
-    salt: str,
+    salt: str | DataFrame,
     labels: Iterable[str] | None = None,
     policy: Mapping[str, str] | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
@@ -187,19 +197,20 @@ def deidentify_text(
 
     Labels the policy skips are left out before overlaps are resolved, so they never shield another label's finding.
     ``chunks`` are the findings replaced.  The original text column is kept beside
-    the new one; drop it before writing.
+    the new one; drop it before writing.  ``salt`` may be a table of one row, read where the secret is kept; the
+    value stands in no plan.
     """
-    if not salt:
+    if isinstance(salt, str) and not salt:
         raise ValueError("a salt is required")
     labels = [x for x in accepted_labels(labels) if (policy or {}).get(x) != "skip"]
     if not labels:
         return docs.withColumns({"deidentified": F.col(text), "chunks": empty_array(CHUNK_TYPE), "residual": empty_array(SPAN_TYPE)})
     if extra_chunks is not None:
         docs = attach_chunks(docs, extra_chunks, key)
-    out = _with_resolved(docs, text, labels, rules, word_lists, extra_chunks is not None, precedence)
+    out = with_salt(_with_resolved(docs, text, labels, rules, word_lists, extra_chunks is not None, precedence), salt)
     return out.withColumn(
         "deidentified",
-        _rebuilt_column(SparkContext._gateway, text, salt, _items(policy), _items(surrogates)),
+        _rebuilt_column(SparkContext._gateway, text, _items(policy), _items(surrogates)),
     ).select(
         *[c for c in docs.columns if c != "extra"],
         "deidentified",

@@ -14,7 +14,7 @@ from veilwork.sources.readers import BINARY_SCHEMA, TEXT_SCHEMA
 
 
 def stream_files(spark: SparkSession, path: str, binary: bool = False, files_per_batch: int = 1000) -> DataFrame:
-    """New files below ``path`` as a stream of ``(doc_id, path, text)``, one row per file."""
+    """New files below ``path`` as a stream of ``(doc_id, path, text)``, one row per file (Spark skips files of 0 bytes)."""
     if binary:
         source = (
             spark.readStream.format("binaryFile")
@@ -30,14 +30,15 @@ def stream_files(spark: SparkSession, path: str, binary: bool = False, files_per
             .text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), "text")
         )
-    return source.select(F.xxhash64("path").alias("doc_id"), "path", "text")
+    # The state of the stream holds every path taken in, so a file that is listed again after a failure answers once.
+    return source.select(F.xxhash64("path").alias("doc_id"), "path", "text").dropDuplicates(["path"])
 
 
 def run_intake(
     files: DataFrame,
     output: str,
     checkpoint: str,
-    salt: str,
+    salt: str | DataFrame,
     labels: Iterable[str] | None = None,
     policy: Mapping[str, str] | None = None,
     dictionary: DataFrame | None = None,
