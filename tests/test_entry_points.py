@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.operators.catalog import CONTEXT_RULES
+from veilwork.operators.rules import Rule
 from veilwork.plans.pages import deidentify_pages
 from veilwork.plans.text import deidentify_text, documents_by_findings, find_entities
 from veilwork.streaming.intake import run_intake, stream_files
@@ -100,3 +101,19 @@ def test_a_file_answers_once_and_a_blank_one_too(spark, tmp_path):
     assert sorted(r.file for r in summaries) == ["a.txt", "b.txt", "c.txt"]
     texts = {r.path[-5:]: r.deidentified for r in spark.read.parquet(f"{tmp_path}/out/text").collect()}
     assert texts["b.txt"] == "\n" and "4321" not in texts["c.txt"]
+
+
+def test_labels_are_renamed_by_kind_and_unknown_ones_refused(spark):
+    """A caller's own tagger is renamed whatever its name; a context rule keeps its label."""
+    fields = "doc_id long, sent_id int, begin int, end int, chunk string, entity string, detector string"
+    own = spark.createDataFrame([(3, 0, 0, 7, "nothing", "BIOID", "my_ner"), (0, 0, 8, 15, "Ann Lee", "MOOD", "my_ner")], fields)
+    found = find_entities(docs(spark), ["BIOID", "MOOD", "SSN"], CONTEXT_RULES, extra_chunks=own)
+    assert {(r.doc_id, r.entity) for r in found.collect()} == {(3, "IDNUM"), (0, "MOOD"), (0, "SSN")}
+    with pytest.raises(ValueError, match="MOOD"):
+        find_entities(docs(spark), ["MOOD"])
+    with pytest.raises(ValueError, match="MOOD"):
+        deidentify_text(docs(spark), SECRET, ["SSN", "MOOD"])
+    with pytest.warns(UserWarning, match="HOSPITAL"):
+        find_entities(docs(spark), ["HOSPITAL"])
+    keeps = Rule("ID", "[0-9]{3}-[0-9]{2}-[0-9]{4}", match_scope="sub-token", kind="context", detector="pattern_like_name")
+    assert [r.entity for r in find_entities(docs(spark), ["ID"], [keeps]).collect()] == ["ID"]

@@ -45,7 +45,7 @@ def test_a_skipped_label_shields_no_other_finding(spark):
 def test_a_renamed_label_counts_under_both_names(spark):
     assert requested_labels(["ID"]) == ("IDNUM",) and accepted_labels(["ID"]) == ("ID", "IDNUM")
     extra = spark.createDataFrame([(0, 0, 0, 4, "A-77", "ID", "my_ner")], CHUNKS)
-    assert deidentify_text(docs(spark, "A-77 seen"), "s", ["ID"], {"ID": "mask_label"}, extra_chunks=extra).first()["deidentified"] == "<ID> seen"
+    assert deidentify_text(docs(spark, "A-77 seen"), "s", ["ID"], {"ID": "mask_label"}, extra_chunks=extra).first()["deidentified"] == "<IDNUM> seen"
     assert find_entities(docs(spark, "badge AB12"), ["ID"], [Rule("ID", "[A-Z]{2}[0-9]{2}", prefix=("badge",), context_length=3)]).count() == 1
 
 

@@ -5,7 +5,7 @@ Values marked as fixed are facts the results depend on; they are data, not logic
 
 from __future__ import annotations
 
-from veilwork.operators.rules import Rule
+from veilwork.operators.rules import PATTERN, Rule
 
 # --- fixed values: labels asked for when the caller names none
 DEFAULT_LABELS = ("NAME", "AGE", "SSN")
@@ -174,7 +174,7 @@ ID_REGEX = r"^[A-Za-z]{2,}[#-]?[0-9]{4,}$"
 def _pattern(entity: str, regex: str, **options) -> Rule:
     options.setdefault("match_scope", "sub-token")
     options.setdefault("case_sensitive", True)
-    return Rule(entity, regex, detector=f"pattern_{entity}", **options)
+    return Rule(entity, regex, detector=f"pattern_{entity}", kind=PATTERN, **options)
 
 
 PATTERN_RULES = (

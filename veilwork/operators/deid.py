@@ -42,8 +42,9 @@ def check_policy(policy: Mapping[str, str] | None) -> dict[str, str]:
     return policy
 
 
-def _digest(entity: Column, chunk: Column, salt: Column) -> Column:
-    return F.sha2(F.concat(salt, F.lit("|"), entity, F.lit("|"), F.lower(chunk)), 256)
+def _digest(entity: Column, chunk: Column, salt: Column | str) -> Column:
+    # a string becomes a literal of the plan: for checks only, see with_salt
+    return F.sha2(F.concat(F.lit(salt) if isinstance(salt, str) else salt, F.lit("|"), entity, F.lit("|"), F.lower(chunk)), 256)
 
 
 def _hex_value(digits: Column) -> Column:
@@ -89,7 +90,7 @@ def label_mask(entity: Column) -> Column:
     return F.concat(F.lit("<"), entity, F.lit(">"))
 
 
-def obfuscated(entity: Column, chunk: Column, salt: Column, surrogates: Mapping[str, Sequence[str]]) -> Column:
+def obfuscated(entity: Column, chunk: Column, salt: Column | str, surrogates: Mapping[str, Sequence[str]]) -> Column:
     def choose(digest: Column) -> Column:
         out = F.when(entity.isin(*SAME_LENGTH_LABELS), same_length_surrogate(chunk, digest))
         for label, values in surrogates.items():
@@ -106,7 +107,7 @@ def obfuscated(entity: Column, chunk: Column, salt: Column, surrogates: Mapping[
 def replacement(
     entity: Column,
     chunk: Column,
-    salt: Column,
+    salt: Column | str,
     policy: Mapping[str, str] | None = None,
     surrogates: Mapping[str, Sequence[str]] = SURROGATES,
 ) -> Column:
@@ -126,7 +127,7 @@ def replacement(
     return out
 
 
-def rebuilt_text(text: Column, resolved: Column, salt: Column, policy=None, surrogates=SURROGATES) -> Column:
+def rebuilt_text(text: Column, resolved: Column, salt: Column | str, policy=None, surrogates=SURROGATES) -> Column:
     """The text with every kept finding replaced and every residual span starred out."""
 
     def edits() -> Column:

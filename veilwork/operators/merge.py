@@ -21,7 +21,6 @@ from veilwork.operators.rules import CHUNK_FIELDS, CHUNK_TYPE
 
 SPAN_TYPE = "struct<begin:int,end:int>"
 RESOLVED_TYPE = f"struct<kept:array<{CHUNK_TYPE}>,residual:array<{SPAN_TYPE}>>"
-TAGGER_KINDS = ("pattern_", "words_", "dictionary", "tagger")
 POSITION_BLOCK_BITS = 16
 SHORT_ISLAND, ISLAND_BATCH = 48, 512  # findings
 
@@ -42,15 +41,12 @@ def accepted_labels(labels: Iterable[str] | None) -> tuple[str, ...]:
     return tuple(sorted({*requested_labels(labels), *labels}))
 
 
-def renamed(entity: Column, detector: Column) -> Column:
-    """Rename labels of taggers and their stand-ins; context rules keep theirs."""
-    from_tagger = F.lit(False)
-    for start in TAGGER_KINDS:
-        from_tagger = from_tagger | detector.startswith(start)
+def renamed(entity: Column, detector: Column, context_detectors: Sequence[str]) -> Column:
+    """Rename the labels of every detector but the context rules', whose names are given."""
     mapped = entity
     for old, new in LABEL_RENAMES.items():
         mapped = F.when(entity == old, F.lit(new)).otherwise(mapped)
-    return F.when(from_tagger, mapped).otherwise(entity)
+    return F.when(detector.isin(*context_detectors), entity).otherwise(mapped)
 
 
 def precedence_rank(
@@ -62,12 +58,12 @@ def precedence_rank(
     return rank
 
 
-def rename_findings(findings: Column) -> Column:
+def rename_findings(findings: Column, context_detectors: Sequence[str]) -> Column:
     return F.transform(
         findings,
         lambda f: F.struct(
             *[f[x].alias(x) for x in CHUNK_FIELDS[:4]],
-            renamed(f["entity"], f["detector"]).alias("entity"),
+            renamed(f["entity"], f["detector"], context_detectors).alias("entity"),
             f["detector"].alias("detector"),
         ),
     )

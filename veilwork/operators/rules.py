@@ -29,6 +29,8 @@ FOUND_TYPE = "struct<begin:int,end:int,chunk:string,entity:string,detector:strin
 CHUNK_FIELDS = ("sent_id", "begin", "end", "chunk", "entity", "detector")
 DOCUMENT_SCOPE_SENT_ID = -1
 ALNUM = "A-Za-z0-9"
+# Labels of context rules are final; those of patterns, lists, dictionaries and taggers may be renamed.
+CONTEXT, PATTERN = "context", "pattern"
 
 
 MOST_TURNS = 1000  # of a group, before its stack counts as unbounded
@@ -90,6 +92,7 @@ class Rule:
     detector: str = ""
     test: str | None = None
     cut: str | None = None
+    kind: str = ""
 
     def __post_init__(self) -> None:
         if self.test and self.match_scope != "token" or self.cut and self.match_scope != "sub-token":
@@ -108,6 +111,10 @@ class Rule:
             raise ValueError(f"rule {self.entity} lists context words but no context length")
         if not self.detector:
             object.__setattr__(self, "detector", f"{self.entity}_chunks")
+        if not self.kind:
+            object.__setattr__(self, "kind", PATTERN if self.detector.startswith("pattern_") else CONTEXT)
+        if self.kind not in (CONTEXT, PATTERN):
+            raise ValueError(f"unknown kind of rule {self.kind!r}")
 
     @property
     def has_context(self) -> bool:

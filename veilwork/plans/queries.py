@@ -21,6 +21,7 @@ from veilwork.operators.catalog import (
     PATTERN_RULES_BY_ENTITY,
     WORD_LISTS,
 )
+from veilwork.operators.detectors import context_detectors
 from veilwork.operators.pipeline import compose
 from veilwork.operators.rules import Rule, rule_findings
 from veilwork.plans.pages import deidentify_pages
@@ -365,9 +366,8 @@ def label_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("label_rename")
 def label_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = merge.rename_findings(
-        rule_findings(F.col("text"), (PATTERN_RULES_BY_ENTITY["ID"], CONTEXT_RULES_BY_ENTITY["IDNUM"]))
-    )
+    rules = (PATTERN_RULES_BY_ENTITY["ID"], CONTEXT_RULES_BY_ENTITY["IDNUM"])
+    found = merge.rename_findings(rule_findings(F.col("text"), rules), context_detectors(rules))
     return chunk_table(fx.note_docs(spark, sf_dir), found)
 
 

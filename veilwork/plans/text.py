@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.arrays import empty_array
 from veilwork.operators.catalog import (
     CONTEXT_RULES,
+    DEFAULT_LABELS,
     LABEL_RENAMES,
     PATTERN_RULES,
     PRECEDENCE,
@@ -25,6 +26,7 @@ from veilwork.operators.catalog import (
     WORD_LISTS,
 )
 from veilwork.operators.deid import SALT, rebuilt_text, with_salt
+from veilwork.operators.detectors import context_detectors, detectors_of, labels_without_detector, needed, unknown_labels
 from veilwork.operators.dictionary import word_findings
 from veilwork.operators.merge import (
     SPAN_TYPE,
@@ -41,23 +43,23 @@ FOUND = "veilwork_findings"
 
 def pruned_rules(rules: Sequence[Rule], labels: Sequence[str]) -> tuple[Rule, ...]:
     """Rules that can yield a requested label; the others would be filtered out anyway."""
-    keep = []
-    for r in rules:
-        tagger_like = r.detector.startswith("pattern_")
-        label = LABEL_RENAMES.get(r.entity, r.entity) if tagger_like else r.entity
-        if label in labels:
-            keep.append(r)
-    return tuple(keep)
+    names = {(d.name, d.entity) for d in needed(detectors_of(rules, {}), labels)}
+    return tuple(r for r in rules if (r.detector, r.entity) in names)
 
 
-def warn_of_labels_without_detector(
-    labels: Iterable[str] | None, rules: Sequence[Rule], word_lists: Mapping[str, Sequence[str]]
+def check_labels(
+    labels: Iterable[str] | None, rules: Sequence[Rule], word_lists: Mapping[str, Sequence[str]], extra: bool
 ) -> None:
-    """Tell a caller that names labels which nothing here can find, so that silence is not taken for absence."""
-    known = {r.entity for r in rules} | set(word_lists)
-    known |= {LABEL_RENAMES.get(x, x) for x in known}
-    lost = sorted({x for x in labels or () if x not in known and LABEL_RENAMES.get(x, x) not in known})
-    if lost:
+    """Refuse labels nobody knows, and tell a caller of labels that nothing here can find, so that silence is not taken for absence.
+
+    With findings of the caller's own (``extra``) any label may be asked for.
+    """
+    if extra:
+        return
+    asked, here = tuple(DEFAULT_LABELS if labels is None else labels), detectors_of(rules, word_lists)
+    if unknown := unknown_labels(asked, here):
+        raise ValueError(f"unknown label(s) {', '.join(unknown)}; give their findings as extra_chunks")
+    if lost := labels_without_detector(asked, here):
         warnings.warn(f"no detector for {', '.join(lost)}; give their findings as extra_chunks", stacklevel=3)
 
 
@@ -75,14 +77,15 @@ def findings(
     """
     wanted = accepted_labels(labels)
     active = pruned_rules(rules, wanted)
-    lists = {e: ws for e, ws in word_lists.items() if LABEL_RENAMES.get(e, e) in wanted}
+    asked = {d.entity for d in needed(detectors_of((), word_lists), wanted)}
+    lists = {e: ws for e, ws in word_lists.items() if e in asked}
     parts = [rule_findings(text, active)]
     if lists:
         parts.append(word_findings(text, lists))
     if extra is not None:
         parts.append(F.coalesce(extra, empty_array(CHUNK_TYPE)))
     found = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return whitelist_findings(rename_findings(found), wanted)
+    return whitelist_findings(rename_findings(found, context_detectors(rules)), wanted)
 
 
 # Building these expressions takes thousands of calls to the JVM, and they depend on their
@@ -162,9 +165,8 @@ def find_entities(
 
     ``extra_chunks`` are findings of a dictionary join or a tagger; they take part in overlaps like the others.
     """
-    if extra_chunks is None:
-        warn_of_labels_without_detector(labels, rules, word_lists)
-    else:
+    check_labels(labels, rules, word_lists, extra_chunks is not None)
+    if extra_chunks is not None:
         docs = attach_chunks(docs.select(key, text), extra_chunks, key)
     done = _with_resolved(docs.select(key, text, *(["extra"] if extra_chunks is not None else [])), text, labels, rules, word_lists, extra_chunks is not None, precedence)
     return chunk_table(done, F.col("resolved.kept"), key)
@@ -202,6 +204,9 @@ def deidentify_text(
     """
     if isinstance(salt, str) and not salt:
         raise ValueError("a salt is required")
+    check_labels(labels, rules, word_lists, extra_chunks is not None)
+    # a policy for a label that is renamed holds for the new name too, unless that has one of its own
+    policy = {**{LABEL_RENAMES.get(e, e): m for e, m in (policy or {}).items()}, **(policy or {})}
     labels = [x for x in accepted_labels(labels) if (policy or {}).get(x) != "skip"]
     if not labels:
         return docs.withColumns({"deidentified": F.col(text), "chunks": empty_array(CHUNK_TYPE), "residual": empty_array(SPAN_TYPE)})

@@ -17,7 +17,7 @@ RULE_SCHEMA = (
     "entity string, ruleScope string, regex string, matchScope string, prefix array<string>, "
     "suffix array<string>, contextLength int, caseSensitive boolean, prefixAndSuffix boolean, "
     "keep string, signal boolean, literal string, minLength int, maxLength int, detector string, "
-    "test string, cut string"
+    "test string, cut string, kind string"
 )
 POLICY_SCHEMA = "entity string, mode string"
 # Rules and policies become expressions of the plan, so their number must stay small.
@@ -66,7 +66,7 @@ def write_rules(spark: SparkSession, rules: tuple[Rule, ...], path: str) -> None
         (
             r.entity, r.rule_scope, r.regex, r.match_scope, list(r.prefix), list(r.suffix), r.context_length,
             r.case_sensitive, r.prefix_and_suffix, r.keep, r.signal, r.literal, r.min_length, r.max_length,
-            r.detector, r.test, r.cut,
+            r.detector, r.test, r.cut, r.kind,
         )
         for r in rules
     ]
@@ -99,6 +99,7 @@ def read_rules(spark: SparkSession, path: str, multi_line: bool = False) -> tupl
                 detector=r.detector or "",
                 test=r.test,
                 cut=r.cut,
+                kind=r.kind or "",
             )
         )
     return tuple(sorted(rules, key=lambda r: (r.entity, r.detector)))
