@@ -131,7 +131,7 @@ def candidate_grams(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """N-grams of ``docs`` (doc_id, text) that ``phrases`` (see ``phrase_table``) may hold, with their spans.
 
     The bitmap is tested on each n-gram where it is made, in generated code and before any shuffle; of other n-grams about
-    one in two hundred passes.
+    one in a hundred passes.
     """
     sizes = phrases.agg(F.max("n").alias("n"), F.max("crosses").alias("crosses"), F.count(F.lit(1)).alias("rows")).first()
     longest = sizes["n"] or 1
