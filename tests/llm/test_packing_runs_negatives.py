@@ -242,6 +242,15 @@ def test_periodic_query(spark, sf_dir):
     assert n_planted > 5
 
 
+def test_periodic_query_equals_its_sql(spark, sf_dir):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    cursor = db.execute(ORACLE_SQL["op12_periodic_runs"])
+    names = [d[0] for d in cursor.description]
+    got = QUERIES["op12_periodic_runs"](spark, sf_dir).select(names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cursor.fetchall()))
+
+
 # hard negatives -----------------------------------------------------------------------------------------------------
 
 

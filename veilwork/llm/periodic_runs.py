@@ -196,3 +196,38 @@ def digests(found: DataFrame) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def oracle_sql() -> str:
+    """The query of this operator in SQL: equal words of a text at each distance, in stretches."""
+    crc = """xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)::BIGINT"""
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {crc} AS h,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sized AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM docs),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+planted AS (
+  SELECT rid, doc_id, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w
+  FROM placed),
+tokens AS MATERIALIZED (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM planted),
+equal AS (SELECT x.rid, x.i, y.i - x.i AS q FROM tokens x JOIN tokens y ON x.rid = y.rid AND x.word = y.word AND x.i < y.i),
+stretches AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS s FROM equal),
+long AS (
+  SELECT rid, min(i) AS start, count(*) + q AS length, q AS period FROM stretches GROUP BY rid, q, s
+  HAVING count(*) + q >= greatest({MIN_WORDS}, {MIN_EXPONENT} * q)),
+runs AS MATERIALIZED (SELECT rid, start, length, min(period) AS period FROM long GROUP BY rid, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) = 1),
+listed AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS body FROM tokens ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM planted LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""

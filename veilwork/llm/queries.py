@@ -83,4 +83,4 @@ QUERIES = {
     for f in (op1_sentencepiece, op2_quality_classifier, op3_hidden_markov, op4_jaccard_join, op5_toxicity, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_url_filters, op10_pii_supervision, op11_best_fit_packing, op12_periodic_runs, op13_hard_negatives)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": url_filters.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": url_filters.oracle_sql(), "op12_periodic_runs": periodic_runs.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql()}
