@@ -312,7 +312,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         sequence, offset = where.value.find(length.to_numpy(), number.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = cut.join(bases, ["part", "length"]).withColumn("place", place("length", F.col("base") + F.col("nth")))
+    # the bases grow with the tasks, so they are never broadcast, however small their file looks
+    placed = cut.join(bases.hint("merge"), ["part", "length"]).withColumn("place", place("length", F.col("base") + F.col("nth")))
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "ids_crc32", "place.sequence_id", "place.offset")
 
 
