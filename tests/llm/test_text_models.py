@@ -240,3 +240,17 @@ def test_symbol_probabilities_sum_to_one():
     assert np.allclose(p.emit.sum(axis=0), 1) and np.allclose(p.move.sum(axis=1), 1)
     # within a class: two words of counts 1 and 2, and the slot for words never seen
     assert sum((c + 0.5) / 10 ** vocab.class_logs()[2] for c in (1, 2, 0)) == pytest.approx(1)
+
+
+def test_language_model_learns_from_every_training_text(spark):
+    """No part of the training texts is picked by id: the same texts under other ids of the training fold give the same model."""
+    r = rng()
+    made = [made_text(r, 8) for _ in range(1300)]
+    free = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5 != 1)
+    totals = []
+    for _ in range(2):
+        docs = frame(spark, [(next(free), t) for t in made]).coalesce(1)
+        got = hidden_markov.score(docs, states=3, max_frequent=50).collect()
+        assert not any(x["held_out"] for x in got)
+        totals.append(sum(x["score"] for x in got))
+    assert totals[0] == pytest.approx(totals[1], rel=1e-6)

@@ -11,8 +11,8 @@ seen.  The second factor does not depend on the state, so the likelihood splits
 bounded symbol set and a sum of rare-word logarithms, which is joined on the words themselves: the broadcast model has
 a fixed size while the counts grow with the corpus.
 
-Training: Baum-Welch.  A warm start runs on a bounded sample; then every iteration sums expected counts over all training
-texts, task by task, and adds them up by symbol.
+Training: Baum-Welch from a seeded random start.  Every iteration sums expected counts over all training texts, task by
+task, and adds them up by symbol.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +31,8 @@ FOLDS, HELD_OUT = 5, 1
 STATES = 8
 MAX_FREQUENT = 65_536
 RARE_CLASSES = 512
-#: The warm start sees about so many training texts; the iterations after it see all of them.
-WARM_TEXTS, WARM_ITERATIONS, ITERATIONS = 1_000, 8, 2
+#: Each sees all training texts.
+ITERATIONS = 5
 #: A vectorised recursion holds about so many tokens.
 SWEEP_TOKENS = 400_000
 HALF = 0.5
@@ -244,28 +243,6 @@ def zeros(p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.zeros_like(p.start), np.zeros_like(p.move), np.zeros_like(p.emit)
 
 
-def warm_start(sample: DataFrame, vocab: Vocabulary, states: int) -> Parameters:
-    """Baum-Welch on a bounded sample in one task, from a seeded random start."""
-    shared = sample.sparkSession.sparkContext.broadcast(vocab)
-    begin = initial(vocab.share(), states)
-
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        share, p = shared.value.share(), initial(shared.value.share(), states)
-        frame = frame.sort_values("row")
-        for _ in range(WARM_ITERATIONS):
-            counts = zeros(p)
-            for _, rows in sequences(pa.array(frame["symbols"], pa.binary())):
-                sweep(rows, p, counts, np.float32)
-            p = reestimated(*counts, share)
-        return pd.DataFrame({"start": [p.start.tobytes()], "move": [p.move.tobytes()], "emit": [p.emit.tobytes()]})
-
-    made = sample.select("row", "symbols").withColumn("part", F.lit(1)).groupBy("part").applyInPandas(learn, "start binary, move binary, emit binary").collect()
-    if not made:
-        return begin
-    r = made[0]
-    return Parameters(*(np.frombuffer(bytes(r[k]), np.float64).reshape(getattr(begin, k).shape) for k in ("start", "move", "emit")))
-
-
 def baum_welch(train: DataFrame, p: Parameters, share: np.ndarray) -> Parameters:
     """One iteration over all training texts: expected counts by task, added up by symbol."""
     shared = train.sparkSession.sparkContext.broadcast(p)
@@ -355,9 +332,7 @@ def score(docs: DataFrame, states: int = STATES, max_frequent: int = MAX_FREQUEN
     rows = saved(encoded(base.withColumn("row", F.monotonically_increasing_id()), vocab))
     share = vocab.share()
     learning = rows.where(~F.col("held_out"))
-    part = min(1.0, WARM_TEXTS / max(vocab.texts, 1))
-    sample = learning if part >= 1 else learning.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    p = warm_start(sample, vocab, states)
+    p = initial(share, states)
     for _ in range(ITERATIONS):
         p = baum_welch(learning, p, share)
     scored = forward_scores(rows, vocab, p).join(rare_sums(rows, counts, vocab), "row", "left")
