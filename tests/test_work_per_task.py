@@ -1,12 +1,15 @@
 """How much one task or one row gets, whatever the files' layout."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from veilwork import fixtures as fx
 from veilwork.plans.queries import QUERIES
 from veilwork.sources import writers
+from veilwork.streaming.intake import run_intake, stream_files
 
 
 def test_notes_are_dealt_by_rows(spark, tmp_path, monkeypatch):
@@ -33,3 +36,15 @@ def test_files_read_whole_grow_in_number(spark, tmp_path, monkeypatch):
     assert (total["status"], total["entities"]) == (1, 6000)
     files = list(tmp_path.glob("kept-intake/in/part-*"))
     assert max(len(f.read_text().splitlines()) for f in files) <= 500
+
+
+def test_intake_keeps_no_text_it_took_in(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: kept.append(self.columns) or self)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("mail a@b.example.org")
+    (tmp_path / "in" / "b.txt").write_text("nothing")
+    run_intake(stream_files(spark, str(tmp_path / "in"), True), str(tmp_path / "out"), str(tmp_path / "state"), "salt", ["EMAIL"])
+    assert kept == [["path", "deidentified", "chunks"]]
+    answers = spark.read.parquet(str(tmp_path / "out" / "summary")).collect()
+    assert sorted(json.loads(r["summary"])["numberOfDeidEntities"] for r in answers) == [0, 1]

@@ -52,12 +52,13 @@ def run_intake(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         extra = dictionary_chunks(batch, dictionary) if dictionary is not None else None
-        done = deidentify_text(batch, salt, labels, policy, extra_chunks=extra).persist()
+        # kept without the texts taken in, whose files are not read again: every one of them has its row here
+        done = deidentify_text(batch, salt, labels, policy, extra_chunks=extra).select("path", "deidentified", "chunks").persist()
         try:
             done.select("path", "deidentified").write.mode("overwrite").parquet(
                 f"{output}/text/batch={batch_id}"
             )
-            summary_records(file_statistics(done), batch).write.mode("overwrite").parquet(
+            summary_records(file_statistics(done), done).write.mode("overwrite").parquet(
                 f"{output}/summary/batch={batch_id}"
             )
         finally:
