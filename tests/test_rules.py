@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork import fixtures as fx
+from veilwork.operators import rules
 from veilwork.operators.catalog import CONTEXT_RULES, CONTEXT_RULES_BY_ENTITY, PATTERN_RULES
 from veilwork.operators.rules import Rule, prefix_regex, rule_findings, suffix_regex
 
@@ -144,3 +145,33 @@ def test_spans_of_patterns_in_long_documents(spark, sf_dir):
     wrong = found.filter(F.expr("substring(text, begin + 1, end - begin) != chunk"))
     assert found.count() > 0
     assert wrong.count() == 0
+
+
+def test_context_rules_read_single_sentences_and_find_the_same(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = sorted({w for r in CONTEXT_RULES for w in r.prefix + r.suffix})
+    values = ["123-45-6789", "10000037", "D1X", "1ABCD12EFGH123456", "12345", "75001-1234.", "34", "5 1/2", "1234 1/2", "é12😀", "u@x.example.org", "v.2.3"]
+    gaps = [" ", " ", " ", ". ", "! ", "\n", " \n", ".", "\t", "-", " ", "\x01"]
+    texts = ["".join(rnd.choice(words if rnd.random() < 0.5 else values) + rnd.choice(gaps[:3] if k % 3 else gaps) for _ in range(k % 90)) for k in range(300)]
+    odd = (
+        Rule("A", r"\d+", match_scope="sub-token", prefix=("of",), suffix=("old", "is!"), context_length=30, prefix_and_suffix=True),
+        Rule("B", r"^[a-z]+$", prefix=("ss#", " call"), suffix=("x", "of "), context_length=4),
+    )
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id int, text string").persist()
+
+    def found():
+        return {r[0]: r[1] and sorted(r[1]) for r in docs.select("doc_id", rule_findings(F.col("text"), CONTEXT_RULES + odd)).collect()}
+
+    by_sentence = found()
+    own = [r for r in CONTEXT_RULES if r.entity not in ("PHONE", "IDNUM")]
+    plan = docs.select(rule_findings(F.col("text"), own))._jdf.queryExecution().toString()
+    assert rules.EARLIER_SENTENCES not in plan  # no window is cut to its sentence afterwards
+    monkeypatch.setattr(rules, "by_sentence", lambda rule: False)
+    assert by_sentence == found() and sum(len(f or ()) for f in by_sentence.values()) > 1000
+    docs.unpersist()
+
+
+def test_rules_that_see_beyond_a_sentence_are_not_cut_to_it():
+    wide = [Rule("A", r, match_scope="sub-token", suffix=("x",), context_length=5) for r in (r"(?<=#)\d", r"\d++.", r"^\d", r"\b\d")]
+    assert not any(map(rules.by_sentence, wide)) and not rules.by_sentence(Rule("A", r"\d", prefix=(" x",), context_length=5))
+    assert {r.entity for r in CONTEXT_RULES if not rules.by_sentence(r)} == {"PHONE", "IDNUM"}
