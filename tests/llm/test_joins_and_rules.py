@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import uuid
 
 import duckdb
 import numpy as np
@@ -395,3 +396,15 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 def test_folded_bytes_ignore_case_of_accents():
     a, b = (decontamination.folded(np.frombuffer(t.encode(), np.uint8)).tobytes() for t in ("ÉTÉ Ünï×", "été ünï×"))
     assert a == b
+
+
+def test_jaccard_join_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path / uuid.uuid4().hex))
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefghijkl") * (1 + k % 3) for _ in range(60)) for k in range(20)]
+    docs = spark.createDataFrame([(i, t + " x" * (i % 4)) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = jaccard_join.components(docs, 3, 80)
+    folders = {p.name for p in tmp_path.iterdir()}
+    assert folders == {f.split("/")[-2] for f in out.inputFiles()}
+    assert out.count() == 60 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows

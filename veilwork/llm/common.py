@@ -7,7 +7,9 @@ longest single text and not on the batch.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -59,7 +61,34 @@ def saved(frame: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and outlives lost executors."""
     path = shared_folder(frame.sparkSession)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    back = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    back._saved_in = path
+    return back
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans executed inside hand Python at most ``rows`` rows at once: a batch stands in the memory of both processes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`saved` gave and nothing reads again, and the shuffle files of jobs that are over.
+
+    Spark keeps those files until the driver happens to collect its garbage, which a driver that only plans hardly does.
+    """
+    spark = tables[0].sparkSession
+    for saved_table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(saved_table._saved_in)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,8 +242,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         changed = small.join(pairs, ["a", "b"], "left_anti").limit(1).count() + pairs.join(small, ["a", "b"], "left_anti").limit(1).count()
+        drop(pairs)
         pairs = small
         if not changed:
             break
     star = pairs.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return saved(star.unionByName(star.select(F.col("component").alias("node"), "component").distinct()))
+    found = saved(star.unionByName(star.select(F.col("component").alias("node"), "component").distinct()))
+    drop(pairs)
+    return found

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import LOWER, chunks, connected_components, mix, saved, shingle_hashes, span_hashes, texts, word_bounds
+from veilwork.llm.common import LOWER, batches_of, chunks, connected_components, drop, mix, saved, shingle_hashes, span_hashes, texts, word_bounds
 
 
 def band_of(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -122,6 +122,8 @@ def keyed_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 #: A task folds so many signatures at a time.
 FOLD = 1 << 20
+#: Pairs a batch, each with both of its sets.
+PAIRS = 500
 
 
 def locally_folded(classes: DataFrame, hubs: bool) -> DataFrame:
@@ -250,16 +252,21 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     least = met.select("sig", F.col("id").alias("hub"), "lo")
     members = locally_folded(classes, False).join(least, ["sig", "hub"], "left").select(F.col("id").alias("a"), F.coalesce("lo", "hub").alias("b"))
     star = saved(met.select(F.col("id").alias("a"), F.col("lo").alias("b")).union(members).where("a <> b").distinct())
+    sizes = saved(keys.select("doc_id", "n", "key"))  # the signatures are most of what the rows hold
+    drop(keys, met)
     wanted = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
     sets = saved(sets_of(base, wanted, words))
-    links = saved(verified(star, sets, percent))
+    with batches_of(docs.sparkSession, PAIRS):
+        links = saved(verified(star, sets, percent))
     found = connected_components(links)
     # members of one hub in different components
     component = found.select(F.col("node").alias("a"), "component")
     placed = star.join(component, "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = placed.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b")
     placed = saved(placed.join(mixed, "b", "left_semi"))
-    parts = saved(differences(placed.select("a", "b"), sets, percent).join(placed.select(F.col("b").alias("hub"), F.col("a").alias("id"), "component"), ["hub", "id"]))
+    drop(star)
+    with batches_of(docs.sparkSession, PAIRS):
+        parts = saved(differences(placed.select("a", "b"), sets, percent).join(placed.select(F.col("b").alias("hub"), F.col("a").alias("id"), "component"), ["hub", "id"]))
     other = parts.select("hub", "x", *(F.col(c).alias(f"{c}2") for c in ("id", "place", "d", "n", "component")))
     reach = f"{100 + percent} * 2 * (least(d - place, d2 - place2)) >= {100 + percent} * (d + d2) - {100 - percent} * (n + n2)"
     cross = saved(
@@ -268,10 +275,17 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         .select(F.col("id").alias("a"), F.col("id2").alias("b"))
         .distinct()
     )
+    drop(parts, placed)
     if not cross.isEmpty():
-        found = connected_components(links.unionByName(verified(cross, sets, percent)))
+        with batches_of(docs.sparkSession, PAIRS):
+            more = saved(verified(cross, sets, percent))
+        drop(sets, cross, found)
+        found = connected_components(links.unionByName(more))
+        drop(links, more)
+    else:
+        drop(sets, cross, links)
     of_key = heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component"))
-    out = keys.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left")
+    out = sizes.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
