@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork import fixtures as fx
-from veilwork.operators import rules
+from veilwork.operators import catalog, rules
 from veilwork.operators.catalog import CONTEXT_RULES, CONTEXT_RULES_BY_ENTITY, PATTERN_RULES
 from veilwork.operators.rules import Rule, prefix_regex, rule_findings, suffix_regex
 
@@ -175,3 +176,19 @@ def test_rules_that_see_beyond_a_sentence_are_not_cut_to_it():
     wide = [Rule("A", r, match_scope="sub-token", suffix=("x",), context_length=5) for r in (r"(?<=#)\d", r"\d++.", r"^\d", r"\b\d")]
     assert not any(map(rules.by_sentence, wide)) and not rules.by_sentence(Rule("A", r"\d", prefix=(" x",), context_length=5))
     assert {r.entity for r in CONTEXT_RULES if not rules.by_sentence(r)} == {"PHONE", "IDNUM"}
+
+
+def test_names_are_looked_for_behind_a_blank_only(spark):
+    shipped = next(r for r in PATTERN_RULES if r.entity == "NAME")
+    plain = dataclasses.replace(shipped, regex=rf"(?=[A-Za-z])(?<={catalog.NAME_LEAD})(?:{catalog.NAME_SHAPE})")
+    assert "(?<= )" in shipped.regex and plain.regex != shipped.regex
+    texts = ["Patient John Smith, Mrs. Van-Dyke", "Name: x#12 MrJohn Mr\tJo", "Miss  Ada Ms. Bo", "Customer Patient Customer#0007 Mr: 'x Mr é"]
+    found = [find(spark, t, (plain,)) for t in texts]
+    assert [find(spark, t, (shipped,)) for t in texts] == found and sum(map(len, found)) == 5
+
+
+def test_a_text_without_any_context_word_is_not_cut_into_sentences(spark):
+    gate = re.compile(rules._any_word(CONTEXT_RULES))
+    assert gate.search("my SSN") and gate.search("Utah 1") and not gate.search("utah 75001. 42 123-45-6789")
+    plan = spark.range(1).select(rule_findings(F.lit("x 1"), (CONTEXT_RULES_BY_ENTITY["VIN"],)).alias("found"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(rules._any_word((CONTEXT_RULES_BY_ENTITY["VIN"],))) == 2  # the text first, then each sentence
